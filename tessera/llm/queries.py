@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.language_id import op3_language_id
 from tessera.llm.lm_scoring import op10_lm_scoring
 from tessera.llm.packing import op9_packing
 from tessera.llm.quality_rules import op7_quality_rules
@@ -13,5 +14,5 @@ from tessera.llm.simhash_groups import op8_simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_quality_rules, op8_simhash_groups, op9_packing, op10_lm_scoring)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_language_id, op7_quality_rules, op8_simhash_groups, op9_packing, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
