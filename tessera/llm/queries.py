@@ -10,10 +10,11 @@ from tessera.llm.language_id import op3_language_id
 from tessera.llm.lm_scoring import op10_lm_scoring
 from tessera.llm.packing import op9_packing
 from tessera.llm.quality_rules import op7_quality_rules
+from tessera.llm.secret_scan import op5_secret_scan
 from tessera.llm.simhash_groups import op8_simhash_groups
 from tessera.llm.sketches import op6_sketches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_language_id, op6_sketches, op7_quality_rules, op8_simhash_groups, op9_packing, op10_lm_scoring)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_language_id, op5_secret_scan, op6_sketches, op7_quality_rules, op8_simhash_groups, op9_packing, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
