@@ -16,8 +16,9 @@ from tessera.llm.quality_rules import op7_quality_rules
 from tessera.llm.secret_scan import op5_secret_scan
 from tessera.llm.simhash_groups import op8_simhash_groups
 from tessera.llm.sketches import op6_sketches
+from tessera.llm.warc import op4_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_language_id, op5_secret_scan, op6_sketches, op7_quality_rules, op8_simhash_groups, op9_packing, op10_lm_scoring)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_language_id, op4_warc, op5_secret_scan, op6_sketches, op7_quality_rules, op8_simhash_groups, op9_packing, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.oracle()}
