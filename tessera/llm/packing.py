@@ -20,7 +20,9 @@ gives no pieces. Extra columns aren't read.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,35 +35,66 @@ from tessera.llm.shared import table
 
 TOKENS, SEGMENTS, LOSS, WINDOW = 2048, 64, 2048, 4096
 VOCABULARY, END = "word_bpe_49k.json", 1
-CACHED_WORDS = 250_000
+CACHED_WORDS = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_segments long"
 
 
 class WordTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit bytes; each distinct word is tokenised once while it stays in the cache.
+    """Ids of texts as little-endian unsigned 32-bit bytes; a distinct word is tokenised once while it stays in the cache.
 
     For vocabularies that split at white space and drop it, a text's ids are its words' ids.
+    The cache has two generations of CACHED_WORDS words at most; the older one is
+    dropped, less what was used again, when the younger one is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        known = self._known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
+        young, old = self._young, self._old
+        known: dict[bytes, bytes] = {}
+        new: list[bytes] = []
+        for w in set().union(*split):
+            ids = young.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                young[w] = ids
+            known[w] = ids
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             coded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update(zip(part, (np.array(c.ids, dtype="<u4").tobytes() for c in coded), strict=True))
+            fresh = dict(zip(part, (_le(array("I", c.ids)) for c in coded), strict=True))
+            known.update(fresh)
+            young.update(fresh)
+        if len(young) > CACHED_WORDS:
+            self._young, self._old = {}, young
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+def _le(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The process's tokenizer; its cache serves all tasks that the worker runs."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def place(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS)) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of pieces (example, start, length) of one window of examples.
 
@@ -153,7 +186,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     """PIECES of every row's tokens and end token. loss_share: the share of an example's tokens, its last ones, that bear loss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = tokenizer_of(tokenizer_path)
         task = TaskContext.get().partitionId() << 40
         count = 0
         end_id = np.array([end], dtype="<u4").tobytes()
@@ -175,8 +208,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         tokens: list[bytes] = []
         size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 ids += part.column(0).to_pylist()
                 new = [t + end_id for t in tokenizer([(t or "").encode() for t in part.column(1).to_pylist()])]
                 tokens += new
