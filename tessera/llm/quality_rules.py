@@ -136,7 +136,7 @@ def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     """
     good = counted.join(labels.where("quality = 1").select("doc_id"), "doc_id").select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), F.posexplode(_bins()).alias("rule", "bin"))
     histogram = good.groupBy("s", "rule", "bin").agg(F.count(F.lit(1)).alias("n"))
-    strata = good.select("s").distinct().agg(F.count(F.lit(1)).alias("strata"))
+    strata = good.select("s").distinct().count()
     rules = len(RULES)
 
     def choose(key, rows):
@@ -151,7 +151,7 @@ def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
             cut.append(choose_cutoff([int(over[k + 1]) for k in range(STEPS + 1)], int(by_bin.sum()), alpha, level))
         return pd.DataFrame({"_stratum": [key[0]], "_cut": [cut]})
 
-    return histogram.crossJoin(F.broadcast(strata)).groupBy("s").applyInPandas(choose, "_stratum string, _cut array<int>")
+    return histogram.withColumn("strata", F.lit(strata)).groupBy("s").applyInPandas(choose, "_stratum string, _cut array<int>")
 
 
 def verdicts(counted: DataFrame, cut: DataFrame, stratum: str = "lang") -> DataFrame:
