@@ -99,12 +99,12 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.dense_top(vectors, questions, "vec_id", "query_id", 10).select("query_id", "vec_id", F.round("dense", 6).alias("dense"), "rank")
 
 
-@query(f"SELECT query_id, vec_id AS cached, round(s, 6) AS cosine FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE.format(a='q.embedding', b='e.embedding')} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.label = e.label AND e.vec_id <> q.vec_id AND s >= 0.5) WHERE rank = 1")
+@query(f"SELECT query_id, vec_id AS cached, round(s, 6) AS cosine FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE.format(a='q.embedding', b='e.embedding')} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.label = e.label AND e.vec_id <> q.vec_id AND s >= 0.2) WHERE rank = 1")
 def semantic_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each question the most similar other vector with the same label, at cosine 0.5 or more."""
+    """For each question the most similar other vector with the same label, at cosine 0.2 or more."""
     rows = table(spark, sf_dir, "embeddings")
     vectors, questions = _vectors(spark, sf_dir)
-    near = fusion.dense_top(vectors, questions, "vec_id", "query_id", 2**20, floor=0.5 - 1e-12)
+    near = fusion.dense_top(vectors, questions, "vec_id", "query_id", 2**20, floor=0.2 - 1e-12)
     labelled = near.join(rows.select("vec_id", "label"), "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").where("label = own and vec_id <> query_id")
     return bm25.top(labelled.drop("rank").withColumn("r", F.round("dense", 9)), "r", "vec_id", 1).select("query_id", F.col("vec_id").alias("cached"), F.round("dense", 6).alias("cosine"))
 
