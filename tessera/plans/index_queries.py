@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from tessera.functions.text import content_hash
 from tessera.operators import index, manuals
 from tessera.plans import sql
 from tessera.plans.registry import query, table
+from tessera.sources.steps import folder
 from tessera.streaming.ingest import ingest, latest
 
 UNITS = {"T100": r"\bT\s?-?100\b", "K7": r"\bK\s?-?7\b"}
@@ -109,27 +107,21 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.hashed_vectors(weights, "key").select("key.conv_id", "key.turn", "embedding")
 
 
-def _folder(spark: SparkSession, what: str) -> str:
-    """A new folder in the shared one that the session names, on one machine a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT doc_id AS id, {_HASH} AS content_hash FROM documents")
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files into an incremental table, twice; the second run finds nothing new."""
-    out = _folder(spark, "ingest")
+    out = folder(spark, "ingest")
     schema = table(spark, sf_dir, "documents").schema
     for run in ("first", "second"):
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parque[t]").select(F.col("doc_id").alias("id"), "text")
-        ingest(stream, out, _folder(spark, run)).awaitTermination()
+        ingest(stream, out, folder(spark, run)).awaitTermination()
     return latest(spark.read.parquet(out), "id").select("id", "content_hash")
 
 
 @query(f"SELECT doc_id AS id, {_HASH} AS content_hash FROM documents")
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark, "snapshot")
+    place = folder(spark, "snapshot")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), content_hash(F.col("text")).alias("content_hash"))
-    index.save_snapshot(docs.where("id < 0"), folder)
-    index.save_snapshot(docs, folder)
-    return index.load_snapshot(spark, folder)
+    index.save_snapshot(docs.where("id < 0"), place)
+    index.save_snapshot(docs, place)
+    return index.load_snapshot(spark, place)

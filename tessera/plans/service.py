@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vocabulary as v
 from tessera.functions.text import escalation_message
 from tessera.operators import bm25, compose, evaluate, fusion, index, manuals, understand
+from tessera.sources.steps import written
 
 
 @dataclass
@@ -42,13 +43,13 @@ class Index:
 
 def build(docs: DataFrame, settings: Settings) -> Index:
     """docs: (source_doc, doc_ord, text). chunk_ord becomes a long: document, section and place in it, in reading order."""
-    parsed = manuals.sections(docs, {m: p for m, (p, _) in settings.units.items()})
+    parsed = written(manuals.sections(docs, {m: p for m, (p, _) in settings.units.items()}), "sections")
     rows = manuals.chunks(parsed)
     ord_ = F.expr("((chunk_ord.doc_ord * 100000 + chunk_ord.section_ord) * 4 + chunk_ord.kind_ord) * 100000 + chunk_ord.seq").alias("chunk_ord")
-    chunks = rows.select(ord_, *[c for c in rows.columns if c != "chunk_ord"]).persist()
-    frequencies = index.feature_frequencies(chunks).persist()
+    chunks = written(rows.select(ord_, *[c for c in rows.columns if c != "chunk_ord"]), "chunks")
+    frequencies = written(index.feature_frequencies(chunks), "features")
     n = chunks.count()
-    vectors = index.hashed_vectors(index.tfidf(chunks, "chunk_ord", frequencies, n), "chunk_ord").persist()
+    vectors = written(index.hashed_vectors(index.tfidf(chunks, "chunk_ord", frequencies, n), "chunk_ord"), "vectors")
     return Index(chunks, vectors, frequencies, n)
 
 
@@ -72,7 +73,7 @@ def search(questions: DataFrame, idx: Index, settings: Settings) -> DataFrame:
         near = fusion.dense_top(idx.vectors, index.hashed_vectors(weights, "query_id"), "chunk_ord", "query_id", 2**20)
         branches.append(bm25.top(_allowed(near.drop("rank"), idx, questions), "dense", "chunk_ord", settings.pool, floor=v.DENSE_FLOOR))
     fused = fusion.reciprocal_ranks(branches, "chunk_ord", pool=settings.pool)
-    pool = fused.join(idx.chunks, "chunk_ord").join(asked, "query_id")
+    pool = written(fused.join(idx.chunks, "chunk_ord").join(asked, "query_id"), "fused")
     if settings.rerank:
         pool = fusion.blend(bm25.pool_scores(pool, "query_id", "chunk_ord"), "chunk_ord", top_k=settings.top_k if settings.truncate and settings.diversity is None else None)
     else:
@@ -93,20 +94,21 @@ def ask(questions: DataFrame, idx: Index, settings: Settings) -> DataFrame:
     keyed = questions.withColumn("first_id", F.min("query_id").over(W.partitionBy(*same)))
     first = keyed.where("query_id = first_id").drop("first_id")
     codes = idx.chunks.select(F.explode("code_anchors").alias("code"))
-    analyzed = understand.analyze(first, codes, settings.units, context="context_unit").withColumn("f_unit", F.coalesce(F.nullif(F.col("context_unit"), F.lit("")), F.col("unit_model"))).persist()
+    analyzed = written(understand.analyze(first, codes, settings.units, context="context_unit").withColumn("f_unit", F.coalesce(F.nullif(F.col("context_unit"), F.lit("")), F.col("unit_model"))), "analyzed")
     fault_rows = idx.chunks.select("chunk_ord", F.explode("fault_rows").alias("f")).select("chunk_ord", "f.code", "f.cells")
-    direct = understand.direct_hits(analyzed, idx.chunks, fault_rows).persist()
+    direct = written(understand.direct_hits(analyzed, idx.chunks, fault_rows), "direct")
     wanted = analyzed.join(direct.select("query_id").distinct(), "query_id", "left_anti") if settings.fast_path_only else analyzed
-    ranked = search(wanted, idx, settings).persist()
-    decided = compose.guardrail(analyzed, ranked, direct, settings.guardrail)
+    ranked = written(search(wanted, idx, settings), "ranked")
+    decided = written(compose.guardrail(analyzed, ranked, direct, settings.guardrail), "decided")
     calm = decided.where("not escalate").select("query_id")
     told = compose.extractive_answer(ranked.join(calm, "query_id", "left_semi"))
     told = calm.join(told, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(v.NOT_COVERED)))
-    told = compose.with_exact_rows(told, direct)
+    told = written(compose.with_exact_rows(told, direct), "told")
     cited = compose.citations(told.join(direct.select("query_id").distinct(), "query_id", "left_anti"), ranked).select("query_id", "chunk_ord", F.col("place").cast("int").alias("place"))
     cited = cited.union(direct.select("query_id", "chunk_ord", F.col("code_pos").cast("int")))
-    near = compose.nearest_safety(analyzed, idx.chunks.select("chunk_ord", "text", "safety", "unit_model"))
+    near = written(compose.nearest_safety(analyzed, idx.chunks.select("chunk_ord", "text", "safety", "unit_model")), "near")
     cited = cited.join(calm, "query_id", "left_semi").union(near.join(decided.where("escalate"), "query_id", "left_semi").select("query_id", "chunk_ord", F.lit(1)))
+    cited = written(cited, "cited")
     # A question about hazardous work cites a safety chunk in any case: the best by BM25, whatever its unit.
     meta = idx.chunks.select("chunk_ord", "id", "source_doc", "breadcrumb", "safety", "caption", "code_anchors", "image_ref")
     backed = cited.join(meta.where("safety"), "chunk_ord").select("query_id").distinct()
@@ -132,11 +134,11 @@ def ask(questions: DataFrame, idx: Index, settings: Settings) -> DataFrame:
 def run_eval(golden: DataFrame, idx: Index, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(items, report) of golden items: recall at k and over the pool, citations, groundedness, violations."""
     questions = golden.select(F.col("id").alias("query_id"), "question", F.lit(None).cast("string").alias("context_unit"), F.lit(None).cast("boolean").alias("f_safety"))
-    numbered = questions.withColumn("query_id", F.xxhash64("query_id")).persist()
+    numbered = written(questions.withColumn("query_id", F.xxhash64("query_id")), "questions")
     codes = idx.chunks.select(F.explode("code_anchors").alias("code"))
-    analyzed = understand.analyze(numbered, codes, settings.units).withColumn("f_unit", F.col("unit_model")).persist()
-    pool = search(analyzed, idx, Settings(**{**settings.__dict__, "truncate": False, "diversity": None})).persist()
-    answers = ask(numbered, idx, settings).persist()
+    analyzed = written(understand.analyze(numbered, codes, settings.units).withColumn("f_unit", F.col("unit_model")), "analyzed")
+    pool = written(search(analyzed, idx, Settings(**{**settings.__dict__, "truncate": False, "diversity": None})), "pool")
+    answers = written(ask(numbered, idx, settings), "answers")
     items = golden.withColumn("query_id", F.xxhash64("id"))
     found = evaluate.hit(F.col("code_anchors"), F.col("breadcrumb"), F.col("caption"), F.col("expected_code"), F.col("expected_section"))
     hits = pool.join(items.drop("question"), "query_id").groupBy("query_id").agg(F.bool_or(found & (F.col("rank") <= settings.top_k)).alias("recall_hit"), F.bool_or(found).alias("pool_hit"), F.collect_list(F.when(F.col("rank") <= v.PROMPT_BLOCKS, F.col("text"))).alias("contexts"))
