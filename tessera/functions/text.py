@@ -111,8 +111,10 @@ def render_row(cells: Column) -> Column:
 
 def escalation_message(topics: Column, section: Column, unit: Column) -> Column:
     """The refusal that names the topics and the nearest safety section."""
-    topic = F.when(F.size(topics) > 0, F.array_join(F.array_sort(topics), ", ")).otherwise(F.lit("safety-critical work"))
-    for_unit = F.when(F.coalesce(unit, F.lit("")) != "", F.concat(F.lit(" for the "), unit)).otherwise(F.lit(""))
-    where = F.when(F.coalesce(unit, F.lit("")) != "", F.concat(F.lit(" in the "), unit, F.lit(" manual"))).otherwise(F.lit(""))
-    nearest = F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit(' The nearest safety documentation is "'), section, F.lit('"'), where, F.lit("."))).otherwise(F.lit(" No matching safety section is currently indexed for this unit."))
-    return F.concat(F.lit("I can't give procedural guidance for this. The question involves "), topic, for_unit, F.lit(", which is safety-critical, and no section tagged as safety documentation supports an answer here. Stop and contact a certified HVAC technician; a supervisor has been flagged to review this request."), nearest)
+    begins, any_work, refuses, nearest, missing = map(F.lit, v.ESCALATION)
+    told = lambda x: F.coalesce(x, F.lit("")) != ""
+    topic = F.when(F.size(topics) > 0, F.array_join(F.array_sort(topics), ", ")).otherwise(any_work)
+    for_unit = F.when(told(unit), F.concat(F.lit(" for the "), unit)).otherwise(F.lit(""))
+    where = F.when(told(unit), F.concat(F.lit(" in the "), unit, F.lit(" manual"))).otherwise(F.lit(""))
+    place = F.when(told(section), F.concat(nearest, section, F.lit('"'), where, F.lit("."))).otherwise(missing)
+    return F.concat(begins, topic, for_unit, refuses, place)

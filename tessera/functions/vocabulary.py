@@ -133,3 +133,14 @@ NEGATION = r"(?i)\b(not|never|no|cannot|can't|don't|do not|unsafe|prohibited)\b"
 NOT_COVERED = "The indexed documentation does not cover this question. Please consult the full service manual or contact technical support."
 ANSWER_HEADER = "Based on the service documentation:"
 EXACT_HEADER = "Exact match from the fault-code table:"
+ESCALATION = [
+    "I can't give procedural guidance for this. The question involves ",
+    "safety-critical work",
+    ", which is safety-critical, and no section tagged as safety documentation supports an answer here. "
+    "Stop and contact a certified HVAC technician; a supervisor has been flagged to review this request.",
+    ' The nearest safety documentation is "',
+    " No matching safety section is currently indexed for this unit.",
+]
+
+# Questions that ask for a procedure.
+PROCEDURAL_ASK = r"(?i)\b(how (do|to|should|can)|can i|steps|procedure|what should i do|is it (safe|ok|okay)|safe to|allowable|correct way)\b"

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from tessera.functions import vocabulary as v
 from tessera.functions.text import answer_words, content_tokens, safety_topics, sentences
 
-PROCEDURAL_ASK = r"(?i)\b(how (do|to|should|can)|can i|steps|procedure|what should i do|is it (safe|ok|okay)|safe to|allowable|correct way)\b"
-
 
 def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
@@ -29,7 +27,7 @@ def quotes(pairs: DataFrame, keys: list[str], question: str = "question", text:
 
 def guardrail(questions: DataFrame, ranked: DataFrame, direct: DataFrame | None = None, enabled: bool = True) -> DataFrame:
     """(query_id, escalate, topics) of each question: hazardous work without a safety section among the first GUARDRAIL_WINDOW."""
-    asked = questions.select("query_id", "question", safety_topics(F.col("question")).alias("asked_topics"), F.col("question").rlike(PROCEDURAL_ASK).alias("procedural"))
+    asked = questions.select("query_id", "question", safety_topics(F.col("question")).alias("asked_topics"), F.col("question").rlike(v.PROCEDURAL_ASK).alias("procedural"))
     quoted = quotes(ranked.where("rank = 1"), ["query_id"]).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(safety_topics(F.col("sentence"))))).alias("quoted_topics"))
     support = ranked.where(F.col("rank") <= v.GUARDRAIL_WINDOW).groupBy("query_id").agg(F.bool_or("safety").alias("support"))
     out = asked.join(quoted, "query_id", "left").join(support, "query_id", "left")

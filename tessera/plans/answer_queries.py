@@ -32,7 +32,7 @@ def quote_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id.conv_id", "query_id.turn", "sentence", "overlap", "n")
 
 
-_ASK = compose.PROCEDURAL_ASK.replace("'", "''")
+_ASK = v.PROCEDURAL_ASK.replace("'", "''")
 
 
 @query(
