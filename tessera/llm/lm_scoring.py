@@ -35,7 +35,7 @@ from tessera.llm import kernels
 from tessera.llm.elias_fano import BigramTrie
 from tessera.llm.shared import materialise, table
 
-STRENGTH, SHARD, HOT, BATCH = 200.0, 2_500_000, 8192, 1_200_000
+STRENGTH, SHARD, HOT, BATCH = 200.0, 1_500_000, 8192, 1_200_000
 _END = kernels.mix(np.array([0x5F5F656E645F5F], dtype=np.uint64))[0]
 _PACKED = "shard int, batch long, words binary, word_pairs binary, befores binary, pair_tokens binary, docs binary, train binary, ids binary, tokens binary"
 _SCORED = "batch long, docs binary, known binary, base binary, score binary, ids binary, tokens binary, train binary"
@@ -87,6 +87,8 @@ def _deal(docs: DataFrame, shards: int, hot: list[tuple[int, int]]) -> DataFrame
     hot_keys = np.array(sorted(k & (2**64 - 1) for k, _ in hot), dtype=np.uint64)
     parts = {k & (2**64 - 1): n for k, n in hot}
     hot_parts = np.array([parts[int(k)] for k in hot_keys], dtype=np.uint64)
+    # Parts go to shards in turn, so that no shard gets more of them than another by two or more.
+    hot_first = np.cumsum(hot_parts, dtype=np.uint64) - hot_parts
 
     def packed(keys, docs, before, ids, train, number) -> pa.RecordBatch:
         mixed = (before * _U(0x9E3779B1)) & _U(0xFFFFFFFF)
@@ -123,7 +125,7 @@ def _deal(docs: DataFrame, shards: int, hot: list[tuple[int, int]]) -> DataFrame
             place = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
             at = np.flatnonzero(hot_keys[place] == key)
             piece = mixed[at] * hot_parts[place[at]] >> _U(32)
-            out[at] = _shard_of(kernels.mix(key[at] + piece), shards)
+            out[at] = ((hot_first[place[at]] + piece) % _U(shards)).astype(np.int32)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +245,7 @@ def _score(packed: DataFrame, shards: int, total: int, distinct: int, hot_totals
         if held:
             yield out()
 
-    return packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, _SCORED)
+    return packed.repartitionById(shards, F.col("shard")).mapInArrow(run, _SCORED)
 
 
 def _gather(scored: DataFrame, total: int, distinct: int) -> DataFrame:
