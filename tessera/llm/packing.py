@@ -35,7 +35,7 @@ from tessera.llm.shared import table
 
 TOKENS, SEGMENTS, LOSS, WINDOW = 2048, 64, 2048, 4096
 VOCABULARY, END = "word_bpe_49k.json", 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_segments long"
 
 
