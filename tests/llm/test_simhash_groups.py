@@ -92,3 +92,33 @@ def test_components(spark, edges):
         if a in nodes and b in nodes:
             assert got[a] == got[b]
     assert all(got[n] == min(m for m in nodes if got[m] == got[n]) for n in nodes)
+
+
+def brute_kept(rows):
+    """rows: (id, text) of distinct ids. The ids that stay, by Jaccard similarity of five-word shingles alone."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    root = {i: i for i in sets}
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if root[i] != root[j] and small >= 0.8 * large:
+                both = len(sets[i] & sets[j])
+                if both >= 0.8 * (small + large - both) - 1e-9:
+                    low, high = sorted((root[i], root[j]))
+                    root = {k: low if r == high else r for k, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_stage_finds_shingle_similarity(spark, sf):
+    rows = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rng = np.random.default_rng(7)
+    for k in range(30):
+        words = [f"d{k}x{int(x)}" for x in rng.integers(0, 10**5, 120)]
+        rows += [(10_000 + 2 * k, " ".join(words))]
+        words[40] = words[80] = "other"
+        rows += [(10_001 + 2 * k, " ".join(words[k % 5 :]))]
+    kept = {r.doc_id for r in stage_simhash(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept == brute_kept(rows)
+    assert not any(i > 10_000 and i % 2 for i in kept)
