@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 LARGE = 48
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least node that each of n nodes reaches over the edges (a, b)."""
     root = np.arange(n)
     while len(a):
@@ -30,7 +30,7 @@ def _alike(x: np.ndarray, y: np.ndarray, ratio: float) -> np.ndarray:
 
 
 def _search(values: np.ndarray, radius: int, sizes: np.ndarray | None = None, ratio: float = 0.0) -> np.ndarray:
-    """As _roots, for one large cell: a breadth-first search compares only with what isn't reached yet."""
+    """As roots, for one large cell: a breadth-first search compares only with what isn't reached yet."""
     root, rest = np.arange(len(values)), np.arange(len(values))
     while len(rest):
         top, rest = rest[0], rest[1:]
@@ -71,7 +71,7 @@ def forest(cells: np.ndarray, values: np.ndarray, radius: int, bound=None, sizes
         a.append(at[near])
         b.append(at[near] + shift)
     if a:
-        few = _roots(n, np.concatenate(a), np.concatenate(b))
+        few = roots(n, np.concatenate(a), np.concatenate(b))
         root = np.where((length > 1) & (length <= LARGE), few, root)
     moved = np.flatnonzero(root != np.arange(n))
     return moved, root[moved]

@@ -128,6 +128,28 @@ class Hasher:
         return mix(h + (ends - starts).astype(np.uint64) * _MIX2)
 
 
+#: Each byte's 8 bits, a byte each.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
+
+
+def majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of consecutive groups of n (1 or more) 64-bit values: the bits that more than half of a group have.
+
+    Eight bits are counted in one addition, a byte each; so a group is added up in parts of 255.
+    """
+    if not len(n):
+        return np.zeros(0, dtype=np.uint64)
+    parts = -(-n // 255)
+    first = np.cumsum(parts) - parts
+    at = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    bytes_, out = hashes.view(np.uint8).reshape(-1, 8), np.empty((len(n), 8), dtype=np.uint8)
+    for k in range(8):
+        ones = np.add.reduceat(_LANES[bytes_[:, k]], at).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little")[:, 0]
+    return out.view(np.uint64)[:, 0]
+
+
 def sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
     """Sum of values by ascending group number, as int64."""
     return np.bincount(groups, weights=values, minlength=n).astype(np.int64) if len(values) else np.zeros(n, dtype=np.int64)

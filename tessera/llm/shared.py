@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all runs on this machine a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -40,6 +42,16 @@ def forget(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """n column names that df hasn't, in any case of letters."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"_t{k}" not in taken:
+            out.append(f"_t{k}")
+        k += 1
+    return out
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (counted), else as it is.
 

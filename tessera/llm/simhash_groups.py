@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels, line_dedup
+from tessera.llm.blocks import SMALL_ROWS, links_in_blocks
 from tessera.llm.components import components
 from tessera.llm.hamming import cell_links
-from tessera.llm.shared import materialise, table
+from tessera.llm.line_dedup import Bloom
+from tessera.llm.shared import fresh_names, materialise, small, table
 
 RADIUS, SPARE, SHINGLE = 4, 2, 4
-STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BANDS, STAGE_ORDERS = 5, 0.8, 16, 4
 _EVEN = 0x5555555555555555
 
 
@@ -62,10 +64,7 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = 42) -> np.
         high = low + np.minimum(count, shingle)[each] - 1
         s, e = place[starts[low]].tolist(), place[ends[high] - 1].tolist()
         h = np.fromiter((digest(joined[i : j + 1], seed) for i, j in zip(s, e, strict=True)), dtype=np.uint64, count=len(s))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-        packed = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little")
-        out[block.first + docs] = np.ascontiguousarray(packed).view(np.uint64)[:, 0]
+        out[block.first + docs] = kernels.majority(h, n)
     return out
 
 
@@ -110,15 +109,15 @@ def links(nodes: DataFrame, radius: int = RADIUS, spare: int = SPARE) -> DataFra
     return cell_links(rows, radius, manhattan)
 
 
-def near_groups(prints: DataFrame, radius: int = RADIUS, spare: int = SPARE, edges: DataFrame | None = None) -> DataFrame:
-    """prints: (id, fp), read twice and so best materialised. (id, fp, component): the least id reachable over links, or over edges (a, b) of fp where given."""
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+def near_groups(prints: DataFrame, radius: int = RADIUS, spare: int = SPARE, edges: DataFrame | None = None, by: Column | None = None) -> DataFrame:
+    """prints: (id, fp, ...), read twice and so best materialised. Its columns and component: the least id (or value of by) reachable over links, or over edges (a, b) of fp where given."""
+    nodes = prints.groupBy("fp").agg(F.min(F.col("id") if by is None else by).alias("least"))
     roots = components(links(prints.select("fp").distinct(), radius, spare) if edges is None else edges)
     linked = roots.join(nodes, roots.node == nodes.fp).select("node", "root", "least")
     lowest = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(lowest, "root").select("node", "component")
     by_print = nodes.join(linked, nodes.fp == linked.node, "left").select(nodes.fp, F.coalesce("component", "least").alias("component"))
-    return prints.join(by_print, "fp").select("id", "fp", "component")
+    return prints.join(by_print, "fp").select(*prints.columns, "component")
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,32 +142,34 @@ def _shingled(texts: pa.Array):
 
 
 def _texts(df: DataFrame) -> DataFrame:
-    return df.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = df.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select("id", F.xxhash64("id", "text").alias("row"), "text")
 
 
 def shingle_prints(df: DataFrame) -> DataFrame:
-    """(id, fp, cells) of each row: the key of its words in order, and its cells of least shingles."""
+    """(id, row, fp, cells) of each row: a key of its id and text, the key of its words in order, and its cells of least shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for keys, docs, shingles, first, last in _shingled(batch.column(1)):
-                cells = line_dedup.word_cells(line_dedup.word_minima(shingles, np.full(len(shingles), 9), first, last)) if len(docs) else np.zeros((0, line_dedup.BANDS), dtype=np.uint64)
+            for keys, docs, shingles, first, last in _shingled(batch.column(2)):
+                cells = line_dedup.word_cells(line_dedup.word_minima(shingles, np.full(len(shingles), 9), first, last, STAGE_BANDS * STAGE_ORDERS), STAGE_ORDERS) if len(docs) else np.zeros((0, STAGE_BANDS), dtype=np.uint64)
                 n = np.zeros(len(keys), dtype=np.int32)
-                n[docs] = line_dedup.BANDS
+                n[docs] = STAGE_BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(cells.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(keys)), pa.array(keys.view(np.int64)), lists], ["id", "fp", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(keys)), batch.column(1).slice(at, len(keys)), pa.array(keys.view(np.int64)), lists], ["id", "row", "fp", "cells"])
                 at += len(keys)
 
-    return _texts(df).mapInArrow(run, "id long, fp long, cells array<long>")
+    return _texts(df).mapInArrow(run, "id long, row long, fp long, cells array<long>")
 
 
-def shingle_sets(df: DataFrame) -> DataFrame:
-    """(key, shingles) of each row with words: its distinct shingles, in order."""
+def shingle_sets(df: DataFrame, wanted: Bloom) -> DataFrame:
+    """(key, shingles) of each wanted row (and of few others) with words: its distinct shingles, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, docs, shingles, first, last in _shingled(batch.column(1)):
+            batch = batch.filter(pa.array(wanted(batch.column(1).to_numpy().view(np.uint64))))
+            for keys, docs, shingles, first, last in _shingled(batch.column(2)):
                 sets = [np.unique(shingles[i:j]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[docs].view(np.int64)), pa.array([s.view(np.int64) for s in sets], type=pa.list_(pa.int64()))], ["key", "shingles"])
 
@@ -203,21 +204,25 @@ def shingle_links(docs: DataFrame, prints: DataFrame, similarity: float = STAGE_
     """prints: shingle_prints of docs, materialised. Edges (a, b) of keys that span the groups of verified candidates."""
     cells = prints.select(F.explode("cells").alias("cell"), F.col("fp").alias("id"), F.lit(0).cast("long").alias("value")).distinct()
     whole, _ = materialise(components(cell_links(cells, 0)).select(F.col("node").alias("key"), F.col("root").alias("whole")), "wholes")
-    ids = prints.join(whole, prints.fp == whole.key, "left_semi").groupBy("fp").agg(F.min("id").alias("wanted")).select("wanted").distinct()
-    sets = shingle_sets(docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("wanted")), "left_semi")).join(whole, "key").dropDuplicates(["key"])
+    rows, _ = materialise(prints.join(small(whole, SMALL_ROWS), prints.fp == whole.key).groupBy("fp").agg(F.min("row").alias("row")).select("row"), "wanted")
+    sets, _ = materialise(shingle_sets(docs, Bloom(rows, "row", rows.count())).join(small(whole, SMALL_ROWS), "key").dropDuplicates(["key"]).select("whole", "key", "shingles"), "sets")
 
     def link(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return alike([np.array(s, dtype=np.int64) for s in part.column("shingles").to_pylist()], similarity)
 
-    return line_dedup.links_in_blocks(sets.select("whole", "key", "shingles"), ["shingles"], link, 512)
+    return links_in_blocks(sets, ["shingles"], link, 512)
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; of rows that repeat it, all stay.
+    """Keeps of each group the document with the smallest doc_id, null ids last, then the least key of its id and text; rows equal to it stay too.
 
     Unlike op8's, groups are linked by shingles of STAGE_SHINGLE words at a Jaccard similarity of STAGE_SIMILARITY or more.
-    Candidates share the least shingles by ORDERS orders in one of BANDS bands (line_dedup); at 0.8 all but about 1 in 4,000 do.
+    Candidates share the least shingles by STAGE_ORDERS orders in one of STAGE_BANDS bands; at 0.8 all but about 1 in 4,000 do.
     """
     prints, _ = materialise(shingle_prints(docs), "prints")
-    gone = near_groups(prints.select("id", "fp"), edges=shingle_links(docs, prints)).where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    first = F.struct(F.col("id").isNull().alias("null"), "id", "row")
+    (own,) = fresh_names(docs, 1)
+    gone = near_groups(prints.select("id", "row", "fp"), edges=shingle_links(docs, prints), by=first).where(first != F.col("component"))
+    gone, _ = materialise(gone.select(F.col("row").alias(own)).distinct(), "gone")
+    key = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.withColumn(own, key).join(small(gone, SMALL_ROWS), own, "left_anti").select(docs.columns)
