@@ -4,10 +4,11 @@ A sequence has three limits at once: tokens, segments and loss-bearing tokens.
 Examples of a full sequence or more are cut into full sequences first; what
 remains of them and shorter ones are placed by the dot-product heuristic
 (Panigrahy et al., "Heuristics for Vector Bin Packing", 2011): into the open
-sequence goes the example that fits and whose demand vector has the largest
-product with the room left, both as shares of the limits. When none fits whole,
-the example with the most tokens is cut to fill the room. The last sequence of a window
-is split into sequences of power-of-two sizes, which need no padding.
+sequence goes the example that fits and whose demand vector (tokens, segments,
+loss-bearing tokens) has the largest product with the room left, all as shares of the limits.
+When none fits whole, the example that fills most of the room is cut, its prompt and its response
+in proportion. A sequence that a limit keeps from being full and the last one of a window
+are split into sequences of power-of-two sizes, which need no padding.
 
 Each task packs the rows it reads in windows of WINDOW examples, so nothing is
 shuffled and memory is bounded. Sequence numbers hold the task's number above
@@ -15,11 +16,13 @@ the task's own count, and so are the same when a task runs again.
 
 Defined cases: a null text is empty, and every document has its end token, so none
 is without a piece. Repeated rows are packed once each. An empty table
-gives no pieces. Extra columns aren't read.
+gives no pieces. Null ids stay null. Extra columns aren't read, so they can't clash.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import sys
 import zlib
 from array import array
@@ -28,23 +31,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import table
 
-TOKENS, SEGMENTS, LOSS, WINDOW = 2048, 64, 2048, 4096
+TOKENS, SEGMENTS, LOSS, WINDOW = 2048, 64, 1740, 4096
+#: Shares of an example's tokens, its last ones, that bear loss: the others stand for its prompt. Documents have no roles, so the crc32 of the id picks one.
+LOSS_SHARES = (0.3, 0.5, 0.7, 0.9)
 VOCABULARY, END = "word_bpe_49k.json", 1
-CACHED_WORDS = 700_000
+CACHED_WORDS = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_segments long"
 
 
+#: The pre-tokenizer's pattern in the vocabulary's file, and what it splits lower-case words of _PLAIN letters into.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PLAIN_SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
+#: Printable ASCII and the letters from U+00C0 to U+00FF, in UTF-8: single code points in any normal form, each with one lower case.
+_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Byte-level models write a byte that isn't printable as the next character from U+0100 on.
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit bytes; a distinct word is tokenised once while it stays in the cache.
 
     For vocabularies that split at white space and drop it, a text's ids are its words' ids.
     The cache has two generations of CACHED_WORDS words at most; the older one is
-    dropped, less what was used again, when the younger one is full.
+    dropped, less what was used again, when the younger one is full. Where the vocabulary splits words by _SPLIT, the
+    parts of _PLAIN words go to the library's model directly, and are cached alike.
     """
 
     def __init__(self, path: str):
@@ -53,6 +68,24 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
+        self._parts: dict[bytes, bytes] = {}
+        self._model = self._tokenizer.model
+        said = json.loads(self._tokenizer.to_str())
+        steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self._by_parts = steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        self._special = [t["content"].encode() for t in said.get("added_tokens") or []]
+
+    def _plain(self, word: bytes) -> bytes:
+        out = []
+        for part in _PLAIN_SPLIT.findall(word.decode().lower().encode()):
+            ids = self._parts.get(part)
+            if ids is None:
+                ids = _le(array("I", [t.id for t in self._model.tokenize(part.decode("latin-1").translate(_BYTE_LETTERS))]))
+                if len(self._parts) >= CACHED_WORDS:
+                    self._parts.clear()
+                self._parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
@@ -64,8 +97,10 @@ class WordTokenizer:
             if ids is None:
                 ids = old.get(w)
                 if ids is None:
-                    new.append(w)
-                    continue
+                    if not self._by_parts or not _PLAIN.fullmatch(w) or any(x in w for x in self._special):
+                        new.append(w)
+                        continue
+                    ids = self._plain(w)
                 young[w] = ids
             known[w] = ids
         for at in range(0, len(new), 20_000):
@@ -99,63 +134,70 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int] = (
     """Sequences as lists of pieces (example, start, length) of one window of examples.
 
     loss: how many of an example's tokens bear loss; they are its last ones. Examples without tokens have no piece.
+    An example that is cut gives the end of what is left of its prompt and the beginning of what is left of its response, so
+    that both parts keep their proportion; a piece of both is one segment while they lie side by side.
     """
     size, segments, most_loss = limits
     if min(limits) < 1:
         raise ValueError("limits must be positive")
     done: list[list[tuple[int, int, int]]] = []
-    tokens, loss = tokens.astype(np.int64), np.minimum(loss, tokens).astype(np.int64)
-    begun = np.zeros(len(tokens), dtype=np.int64)
-
-    def loss_in(i: int, start: int, length: int) -> int:
-        return max(0, start + length - max(start, int(whole[i] - loss_all[i])))
-
-    def fit(i: int, start: int, room: int, room_loss: int) -> int:
-        """The most tokens of example i from start on that stay in the room."""
-        free = max(0, int(whole[i] - loss_all[i]) - start)
-        return min(room, int(whole[i]) - start, free + room_loss)
-
-    whole, loss_all = tokens.copy(), loss.copy()
-    for i in np.flatnonzero(tokens >= size):
-        while whole[i] - begun[i] >= size and (n := fit(i, int(begun[i]), size, most_loss)) == size:
-            done.append([(int(i), int(begun[i]), n)])
-            begun[i] += n
-    left = whole - begun
-    left_loss = np.minimum(left, loss_all)
-    alive = np.flatnonzero(left > 0)
-    a, b, ids = left[alive], left_loss[alive], alive
-    live = np.ones(len(ids), dtype=bool)
-    remaining = len(ids)
-    share = a / size / size
-    share_loss = b / most_loss / most_loss
-    bin_, room, room_loss = [], size, most_loss
+    tokens = tokens.astype(np.int64)
+    bears = np.minimum(loss, tokens).astype(np.int64)
+    #: What is left of an example: head tokens without loss that end at head_end, tail tokens with loss from tail_at on.
+    head, tail, head_end, tail_at = tokens - bears, bears.copy(), tokens - bears, tokens - bears
+
+    def cut(i: int, room: int, room_loss: int, room_segments: int) -> tuple[int, int]:
+        """How many tokens of head and tail go into the room."""
+        h, t = int(head[i]), int(tail[i])
+        most_t, x = min(t, room_loss), min(room, h + t)
+        y = min(max(-(-x * t // (h + t)), x - h), most_t)
+        take = min(h, x - y), y
+        if all(take) and room_segments < 2 and head_end[i] != tail_at[i]:
+            take = (min(h, room), 0) if min(h, room) > min(most_t, room) else (0, min(most_t, room))
+        return take
+
+    def pieces(i: int, h: int, t: int) -> list[tuple[int, int, int]]:
+        e, s = int(head_end[i]), int(tail_at[i])
+        head[i], tail[i], head_end[i], tail_at[i] = head[i] - h, tail[i] - t, e - h, s + t
+        if h and t and e == s:
+            return [(i, e - h, h + t)]
+        return [(i, at, n) for at, n in ((e - h, h), (s, t)) if n]
+
+    for i in np.flatnonzero(tokens >= size).tolist():
+        while head[i] + tail[i] >= size and sum(take := cut(i, size, most_loss, segments)) == size:
+            done.append(pieces(i, *take))
+    ids = np.flatnonzero(head + tail > 0)
+    live, remaining = np.ones(len(ids), dtype=bool), len(ids)
+    h, t = head[ids], tail[ids]
+    parts = 1 + ((h > 0) & (t > 0) & (head_end[ids] != tail_at[ids]))
+    bin_: list[tuple[int, int, int]] = []
+    room, room_loss = size, most_loss
     while remaining:
-        fits = live & (a <= room) & (b <= room_loss)
-        worth = np.where(fits, share * room + share_loss * room_loss, -1.0)
+        free = segments - len(bin_)
+        whole = h + t
+        fits = live & (whole <= room) & (t <= room_loss) & (parts <= free)
+        worth = np.where(fits, whole * (room / size**2) + t * (room_loss / most_loss**2) + parts * (free / segments**2), -1.0)
         k = int(worth.argmax())
-        i = int(ids[k])
-        if worth[k] >= 0 and len(bin_) < segments - 1 or worth[k] >= 0 and a[k] == room:
-            n = int(a[k])
+        if worth[k] >= 0 and (free > parts[k] or whole[k] == room):
+            take = int(h[k]), int(t[k])
         else:
-            k = int(np.where(live, a, -1).argmax())
+            # None fits whole, or the last segment would leave room: the example that fills most of it is cut, of equal ones the longest.
+            k = int(np.where(live, np.minimum(room, h + np.minimum(t, room_loss)) * (whole.max() + 1) + whole, -1).argmax())
+            take = cut(int(ids[k]), room, room_loss, free)
+        if sum(take):
             i = int(ids[k])
-            n = fit(i, int(begun[i]), room, room_loss)
-        if n:
-            bin_.append((i, int(begun[i]), n))
-            used = loss_in(i, int(begun[i]), n)
-            room, room_loss = room - n, room_loss - used
-            begun[i] += n
-            a[k] -= n
-            b[k] -= used
-            share[k], share_loss[k] = a[k] / size / size, b[k] / most_loss / most_loss
-            if not a[k]:
+            bin_ += pieces(i, *take)
+            room, room_loss = room - sum(take), room_loss - take[1]
+            h[k], t[k] = head[i], tail[i]
+            parts[k] = 1 + int(h[k] > 0 and t[k] > 0 and head_end[i] != tail_at[i])
+            if not h[k] + t[k]:
                 live[k] = False
                 remaining -= 1
                 if remaining > 64 and remaining * 2 < len(ids):
-                    a, b, ids, share, share_loss = a[live], b[live], ids[live], share[live], share_loss[live]
+                    h, t, parts, ids = h[live], t[live], parts[live], ids[live]
                     live = np.ones(len(ids), dtype=bool)
-        if not room or not room_loss or len(bin_) >= segments or not n:
-            done.append(bin_)
+        if not room or len(bin_) >= segments or not sum(take):
+            done += _powers_of_two(bin_) if room else [bin_]
             bin_, room, room_loss = [], size, most_loss
     if bin_:
         done += _powers_of_two(bin_)
@@ -182,8 +224,8 @@ def _powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, i
     return out
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), loss_share: float = 1.0, window: int = WINDOW, end: int = END) -> DataFrame:
-    """PIECES of every row's tokens and end token. loss_share: the share of an example's tokens, its last ones, that bear loss."""
+def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), loss_share: Column | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
+    """PIECES of every row's tokens and end token. loss_share: the share of an example's tokens, its last ones, that bear loss (null: all); one of LOSS_SHARES by default."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(tokenizer_path)
@@ -191,11 +233,11 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         count = 0
         end_id = np.array([end], dtype="<u4").tobytes()
 
-        def packed(ids: list, tokens: list[bytes]) -> pa.RecordBatch:
+        def packed(ids: list, tokens: list[bytes], shares: list[float]) -> pa.RecordBatch:
             nonlocal count
             n = np.array([len(t) // 4 for t in tokens], dtype=np.int64)
             cols: list[list] = [[] for _ in range(8)]
-            for pieces in place(n, np.ceil(n * loss_share).astype(np.int64), limits):
+            for pieces in place(n, np.ceil(n * np.array(shares)).astype(np.int64), limits):
                 offset = 0
                 for i, start, length in pieces:
                     for col, v in zip(cols, (ids[i], start, length, zlib.crc32(tokens[i][4 * start : 4 * (start + length)]), int(n[i]), task + count, offset, len(pieces)), strict=True):
@@ -206,21 +248,27 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
         ids: list = []
         tokens: list[bytes] = []
+        shares: list[float] = []
         size = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids += part.column(0).to_pylist()
+                shares += part.column(2).to_pylist()
                 new = [t + end_id for t in tokenizer([(t or "").encode() for t in part.column(1).to_pylist()])]
                 tokens += new
                 size += sum(map(len, new))
                 if len(ids) >= window or size > 1 << 26:
-                    yield packed(ids, tokens)
-                    ids, tokens, size = [], [], 0
+                    yield packed(ids, tokens, shares)
+                    ids, tokens, shares, size = [], [], [], 0
         if ids:
-            yield packed(ids, tokens)
+            yield packed(ids, tokens, shares)
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if loss_share is None:
+        of = F.crc32(F.col(id_col).cast("long").cast("string")) % len(LOSS_SHARES)
+        loss_share = F.element_at(F.array(*map(F.lit, LOSS_SHARES)), (F.coalesce(of, F.lit(0)) + 1).cast("int"))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(loss_share.cast("double"), F.lit(1.0))))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), share.alias("share"))
     return rows.mapInArrow(run, PIECES)
 
 

@@ -73,6 +73,62 @@ def test_limits_hold(examples, size, segments, loss):
         assert at == t
 
 
+def demands(pieces, tokens, bears):
+    loss = sum(max(0, s + n - max(s, int(tokens[i] - bears[i]))) for i, s, n in pieces)
+    return sum(n for _, _, n in pieces), len(pieces), loss
+
+
+def test_choice_by_dot_product():
+    """Examples that all fit whole: each next one has the largest product of demands and room, worked out anew."""
+    rng = np.random.default_rng(7)
+    tokens = rng.integers(20, 200, 60)
+    bears = (tokens * rng.random(60)).astype(np.int64)
+    limits = (1000, 20, 500)
+    first = place(tokens, bears, limits)[0]
+    room, left = list(limits), set(range(60))
+    for k, (i, s, n) in enumerate(first):
+        need = {j: (int(tokens[j]), 1, int(bears[j])) for j in left}
+        fits = [j for j in left if all(x <= r for x, r in zip((need[j][0], 1, need[j][2]), (room[0], room[1], room[2]), strict=True))]
+        if not fits or room[1] == 1:
+            break
+        best = max(sum(x * r / m / m for x, r, m in zip(need[j], room, limits, strict=True)) for j in fits)
+        assert (s, n) == (0, tokens[i])
+        assert sum(x * r / m / m for x, r, m in zip(need[i], room, limits, strict=True)) == pytest.approx(best)
+        room = [r - x for r, x in zip(room, need[i], strict=True)]
+        left.discard(i)
+    assert k >= 3
+
+
+def test_each_limit_binds():
+    tokens = np.full(200, 100)
+    by_tokens = place(tokens, np.zeros(200, dtype=int), (1000, 50, 900))
+    assert all(demands(p, tokens, tokens * 0)[0] == 1000 for p in by_tokens)
+    by_segments = place(tokens, np.zeros(200, dtype=int), (1000, 4, 900))
+    assert all(len(p) <= 4 for p in by_segments)
+    half = np.array([100, 0] * 100)
+    by_loss = place(tokens, half, (1000, 50, 500))
+    assert [demands(p, tokens, half) for p in by_loss] == [(1000, 10, 500)] * 20
+    heavy = place(tokens, tokens, (1000, 50, 500))
+    assert all(demands(p, tokens, tokens)[2] <= 500 for p in heavy)
+
+
+def test_long_examples_keep_their_proportion():
+    for pieces in place(np.array([20_480]), np.array([14_336]), (2048, 64, 1640)):
+        total, _, loss = demands(pieces, np.array([20_480]), np.array([14_336]))
+        assert abs(loss - 0.7 * total) <= 10
+
+
+def test_words_are_tokenised_as_texts():
+    from tessera.llm.packing import tokenizer_of
+
+    whole = Tokenizer.from_file(vocabulary_path())
+    texts = ["Don't we'LL''s I've it's 'm 'D x'S'", "a1b22c333 #$%&'()*+,-./:;<=>?@[\\]^_`{|}~ --a''s", "<|endoftext|> x<|startoftext|>y <|x|>", "\x01\x7f a\x02b", "\u00c9t\u00e9 na\u00efve\u00a0x e\u0301 \u212b 12\u00bd", "", " \t", "Word WORD word\x0bword\x0cword"]
+    rng = np.random.default_rng(1)
+    texts += ["".join(rng.choice(list("abAB'sStTrRevlLmd019 -_.,<|>\u00e9\u00df"), 60)) for _ in range(300)]
+    got = tokenizer_of(vocabulary_path())([t.encode() for t in texts])
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_limits_must_be_positive():
     with pytest.raises(ValueError, match="positive"):
         place(np.array([1]), np.array([1]), (0, 1, 1))
