@@ -15,7 +15,8 @@ ends, and only that bucket is sorted.
 
 Defined cases: null levels are the value ''. A null or blank text has 0 tokens and is taken 0 of. A
 weight of 0 takes nothing. Equal rows follow each other in arbitrary
-order, which doesn't change the set of results. An empty table gives an empty result.
+order, which doesn't change the set of results. Null ids stand for '' in the order. An empty table gives an empty result. The query reads
+four columns only; the stage passes all others through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialise, small, table
+from tessera.llm.shared import fresh_names, materialise, small, table
 
 SEED, PERCENT, MAX_EPOCHS, BUCKET = 17, 60, 2, 1000
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -89,35 +90,38 @@ def _bucket() -> Column:
     return F.expr("shiftright(cast(conv(substring(_at, 1, 6), 16, 10) as bigint), 24 - _bits)")
 
 
-def _with_leaf(df: DataFrame, plan: DataFrame, levels: dict[str, Column], id_col: str, tokens: Column, seed: int) -> DataFrame:
-    """Each row with its leaf's figures, its tokens and its place."""
-    names = list(df.columns)
-    rows = df.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(f"_l{i}") for i, c in enumerate(levels.values())], df[id_col].alias("_id"), F.coalesce(tokens, F.lit(0)).cast("bigint").alias("_n"))
+def _rows(df: DataFrame, levels: dict[str, Column], id_col: str, tokens: Column | None, keep: bool) -> DataFrame:
+    """Each row's levels, id and tokens under the names of this module, and where asked the table's columns by their places, so that no name can clash."""
+    tokens = F.regexp_count("text", F.lit(WORD)) if tokens is None else tokens
+    own = [df[c].alias(f"c{i}") for i, c in enumerate(df.columns)] if keep else []
+    return df.select(*own, *[F.coalesce(c.cast("string"), F.lit("")).alias(f"_l{i}") for i, c in enumerate(levels.values())], df[id_col].alias("_id"), F.coalesce(tokens, F.lit(0)).cast("bigint").alias("_n"))
+
+
+def _with_leaf(rows: DataFrame, plan: DataFrame, levels: dict[str, Column], seed: int) -> DataFrame:
+    """_rows with their leaf's figures and their places in the order."""
     figures = plan.select(*[F.col(n).alias(f"_l{i}") for i, n in enumerate(levels)], *[F.col(c) for c in plan.columns if c.startswith("_")])
-    return rows.join(small(figures, 100_000), [f"_l{i}" for i in range(len(levels))]).select(*names, *[f"_l{i}" for i in range(len(levels))], "_id", "_n", *[c for c in plan.columns if c.startswith("_")]).withColumn("_at", _place(seed))
+    return rows.join(small(figures, 100_000), [f"_l{i}" for i in range(len(levels))]).withColumn("_at", _place(seed))
 
 
 def plan_mix(df: DataFrame, levels: dict[str, Column], weights: list, id_col: str = "doc_id", tokens: Column | None = None, seed: int = SEED, bucket: int = BUCKET, **budget) -> DataFrame:
     """One row for each leaf: whole epochs, the tokens of the prefix, and the bucket in which it ends. Materialised."""
-    tokens = F.regexp_count("text", F.lit(WORD)) if tokens is None else tokens
-    names = list(levels)
-    cols = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()]
-    leaves, _ = materialise(df.select(*cols, F.coalesce(tokens, F.lit(0)).cast("bigint").alias("_n")).groupBy(*names).agg(F.sum("_n").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaves")
+    names, rows = list(levels), _rows(df, levels, id_col, tokens, False)
+    cols = [F.col(f"_l{i}").alias(n) for i, n in enumerate(names)]
+    leaves, _ = materialise(rows.groupBy(*cols).agg(F.sum("_n").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaves")
     dealt = leaf_budgets(leaves, names, weights, **budget)
     plan = dealt.select(*names, F.coalesce(F.expr("try_divide(budget - budget % greatest(tokens, 1), tokens)").cast("int"), F.lit(0)).alias("_full"), F.expr("budget % greatest(tokens, 1)").alias("_rest"), F.expr(f"cast(least(24, ceil(log2(1 + docs / {bucket}.0D))) as int)").alias("_bits"))
     plan, _ = materialise(plan, "budgets")
-    sums = _with_leaf(df, plan, levels, id_col, tokens, seed).where("_rest > 0").groupBy(*[f"_l{i}" for i in range(len(names))], "_rest", _bucket().alias("_b")).agg(F.sum("_n").alias("s"))
+    sums = _with_leaf(rows, plan, levels, seed).where("_rest > 0").groupBy(*[f"_l{i}" for i in range(len(names))], "_rest", _bucket().alias("_b")).agg(F.sum("_n").alias("s"))
     upto = sums.withColumn("e", F.sum("s").over(W.partitionBy(*[f"_l{i}" for i in range(len(names))]).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
     last = upto.where("e >= _rest and e - s < _rest").groupBy(*[F.col(f"_l{i}").alias(n) for i, n in enumerate(names)]).agg(F.min("_b").alias("_last"), F.min(F.col("e") - F.col("s")).alias("_before"))
     return materialise(plan.join(last, names, "left").withColumn("_last", F.coalesce("_last", F.lit(-1).cast("bigint"))), "plan")[0]
 
 
-def apply_mix(df: DataFrame, plan: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", tokens: Column | None = None, seed: int = SEED) -> DataFrame:
-    """df with _n (tokens), _full (whole epochs) and _taken (tokens of the prefix that fall to the row)."""
-    tokens = F.regexp_count("text", F.lit(WORD)) if tokens is None else tokens
+def apply_mix(df: DataFrame, plan: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", tokens: Column | None = None, seed: int = SEED, into: Sequence[str] = ("_n", "_full", "_taken")) -> DataFrame:
+    """df with three more columns, named by into: tokens, whole epochs, and tokens of the prefix that fall to the row. A column of df with such a name gives way."""
     keys = [f"_l{i}" for i in range(len(levels))]
-    rows = _with_leaf(df, plan, levels, id_col, tokens, seed).withColumn("_b", _bucket())
-    out = [*df.columns, "_n", "_full", "_taken"]
+    rows = _with_leaf(_rows(df, levels, id_col, tokens, True), plan, levels, seed).withColumn("_b", _bucket())
+    out = [*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c not in into], *[F.col(c).alias(n) for c, n in zip(("_n", "_full", "_taken"), into, strict=True)]]
     clear = rows.where("_b <> _last").withColumn("_taken", F.expr("case when _b < _last then _n else 0L end"))
     running = F.sum("_n").over(W.partitionBy(*keys).orderBy("_at", "_id", "_n").rowsBetween(W.unboundedPreceding, 0))
     edge = rows.where("_b = _last").withColumn("_end", F.col("_before") + running).withColumn("_taken", F.expr("greatest(0L, least(_n, _rest - (_end - _n)))"))
@@ -182,7 +186,8 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents to STAGE_PERCENT of all tokens, each at most once; the one in which a leaf's prefix ends is cut there and n_chars counted anew."""
     levels = document_levels()
     plan = plan_mix(docs, levels, WEIGHTS, percent=STAGE_PERCENT, max_epochs=1)
-    taken = apply_mix(docs, plan, levels).withColumn("_k", (F.col("_full") * F.col("_n") + F.col("_taken")).cast("int")).where("_k > 0")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), F.col("_k")), "")
-    cut = taken.withColumn("text", F.when(F.col("_k") < F.col("_n"), cut).otherwise(F.col("text")))
-    return cut.withColumn("n_chars", F.when(F.col("_k") < F.col("_n"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    n, full, rest, k = fresh_names(docs, 4)
+    taken = apply_mix(docs, plan, levels, into=(n, full, rest)).withColumn(k, (F.col(full) * F.col(n) + F.col(rest)).cast("int")).where(F.col(k) > 0)
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), F.col(k)), "")
+    cut = taken.withColumn("text", F.when(F.col(k) < F.col(n), cut).otherwise(F.col("text")))
+    return cut.withColumn("n_chars", F.when(F.col(k) < F.col(n), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)

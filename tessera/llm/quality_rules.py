@@ -3,16 +3,20 @@
 Each rule is a ratio that is higher for worse texts; a text is rejected if one
 lies above the rule's cutoff. For each stratum and rule the cutoffs of a fixed
 grid are tested from the most lenient on: a cutoff is certified if the exact
-binomial test rejects "it turns away more than ALPHA of the good texts" at
-level DELTA / (strata x rules). Testing stops at the first cutoff that fails
+binomial test rejects "it turns away more than the rule's alpha of the good texts" at
+the rule's share of DELTA / strata. Testing stops at the first cutoff that fails
 (fixed-sequence testing needs no further correction), and the last certified one
-is used. So with probability 1 - DELTA no rule of any stratum turns away more
-than ALPHA of the good texts. A rule without a certified cutoff rejects nothing.
+is used. The shares add up to 1 (Bonferroni). So with probability 1 - DELTA no rule of any stratum turns away more
+than its alpha of the good texts. A rule without a certified cutoff rejects nothing.
+
+A stratum with too few good labels to certify anything would be without rules. Such strata
+are one stratum together, for which the guarantee holds as a whole. Which ones they are goes by the
+numbers of labels alone, not by the texts, so that the tests stay exact.
 
 Defined cases: a null text has no words; a null stratum is a stratum of its
 own; a stratum without labels rejects nothing; labels that are null, for
 unknown documents or given again differently count as they stand; an empty
-table gives an empty result; other columns pass through untouched.
+table gives an empty result; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernels
-from tessera.llm.shared import materialise, small, table
+from tessera.llm.shared import fresh_names, materialise, small, table
 
-ALPHA, DELTA, STEPS = 0.005, 0.05, 50
+DELTA, STEPS = 0.05, 50
 MIN_WORDS, MAX_REPEAT = 50, 50
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_marks"]
 #: Rule: (numerator, denominator, the grid's most lenient cutoff). Values above the grid are as bad as its end.
@@ -41,6 +45,8 @@ RULES = {
     "repeats": ("n_repeat_words", "n_words", 1.0),
     "long_words": ("word_chars", "n_words", 20.0),
 }
+#: Rule: (alpha, share of DELTA). The first has most of the level, so that a stratum of some 300 good labels gets a cutoff.
+RISKS = {"symbols": (0.0125, 0.5)} | {r: (0.005, 0.1) for r in ("marks", "upper", "dup_lines", "repeats", "long_words")}
 _SYMBOLS, _UPPER, _LETTER, _MARKS = (np.zeros(256, dtype=np.int64) for _ in range(4))
 _SYMBOLS[list(b"#*$%&|<>")] = 1
 _UPPER[65:91] = 1
@@ -83,8 +89,8 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def with_counts(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all by default) and a struct _q of the text's COUNTS."""
+def with_counts(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, into: str = "_q") -> DataFrame:
+    """The columns keep (all by default) and a struct of the text's COUNTS."""
     keep = df.columns if keep is None else keep
     names = [f"_c{i}" for i in range(len(keep))]
     rows = df.select(*[df[c].alias(n) for c, n in zip(keep, names, strict=True)], df[text_col].cast("string").alias("_text"))
@@ -96,18 +102,23 @@ def with_counts(df: DataFrame, text_col: str = "text", keep: list[str] | None =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(got[c]) for c in COUNTS]], [*names, *COUNTS])
 
     done = rows.mapInArrow(run, schema)
-    return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.struct(*COUNTS).alias("_q"))
+    return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.struct(*COUNTS).alias(into))
 
 
-def _bin(rule: str) -> Column:
+def _bin(rule: str, q: str) -> Column:
     """In how many steps of the grid's cutoffs the text's ratio lies above them; cutoff k is k / STEPS of the grid's end."""
     over, under, top = RULES[rule]
-    ratio = F.coalesce(F.try_divide(F.col(f"_q.{over}").cast("double"), F.col(f"_q.{under}")), F.lit(0.0)) / top
+    ratio = F.coalesce(F.try_divide(F.col(f"{q}.{over}").cast("double"), F.col(f"{q}.{under}")), F.lit(0.0)) / top
     return F.least(F.greatest(F.ceil(ratio * STEPS), F.lit(0)), F.lit(STEPS + 1)).cast("int")
 
 
-def _bins() -> Column:
-    return F.array(*[_bin(r) for r in RULES])
+def _bins(q: str = "_q") -> Column:
+    return F.array(*[_bin(r, q) for r in RULES])
+
+
+def _stratum(value: Column) -> Column:
+    """A key of the stratum; null is none of the texts."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))
 
 
 def certified(rejected: int, good: int, alpha: float, level: float) -> bool:
@@ -128,50 +139,64 @@ def choose_cutoff(above: list[int], good: int, alpha: float, level: float) -> in
     return best
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def least_labels(alpha: float, level: float) -> int:
+    """The fewest good labels by which a cutoff that turns away none of them is certified."""
+    return math.ceil(math.log(level) / math.log1p(-alpha))
+
+
+def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", risks: dict[str, tuple[float, float]] = RISKS, delta: float = DELTA) -> DataFrame:
     """(_stratum, _cut array): for each rule, the bin above which a text of the stratum is rejected.
 
     counted: doc_id, the stratum's column and _q. labels: doc_id, quality. Only a histogram
     of strata x rules x (STEPS + 2) rows leaves the aggregation.
     """
-    good = counted.join(labels.where("quality = 1").select("doc_id"), "doc_id").select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s"), F.posexplode(_bins()).alias("rule", "bin"))
-    histogram = good.groupBy("s", "rule", "bin").agg(F.count(F.lit(1)).alias("n"))
-    strata = good.select("s").distinct().count()
-    rules = len(RULES)
+    good = counted.join(labels.where("quality = 1").select("doc_id"), "doc_id").select(_stratum(F.col(stratum)).alias("s"), F.posexplode(_bins()).alias("rule", "bin"))
+    histogram, _ = materialise(good.groupBy("s", "rule", "bin").agg(F.count(F.lit(1)).alias("n")), "histogram")
+    sizes = histogram.where("rule = 0").groupBy("s").agg(F.sum("n").alias("labels"))
+    alone = F.col("labels") >= min(least_labels(a, delta * share / (sizes.count() + 1)) for a, share in risks.values())
+    strata, _ = materialise(sizes.select("s", F.when(alone, F.col("s")).otherwise("few").alias("whole")), "strata")
+    tests = strata.select("whole").distinct().count()
+    rules = list(RULES)
 
     def choose(key, rows):
         import pandas as pd
 
-        level = delta / (int(rows["strata"].iloc[0]) * rules)
         cut = []
-        for r in range(rules):
+        for r, rule in enumerate(rules):
             mine = rows[rows["rule"] == r]
             by_bin = np.bincount(mine["bin"], weights=mine["n"], minlength=STEPS + 2).astype(np.int64)
             over = by_bin[::-1].cumsum()[::-1]
-            cut.append(choose_cutoff([int(over[k + 1]) for k in range(STEPS + 1)], int(by_bin.sum()), alpha, level))
-        return pd.DataFrame({"_stratum": [key[0]], "_cut": [cut]})
+            alpha, share = risks[rule]
+            cut.append(choose_cutoff([int(over[k + 1]) for k in range(STEPS + 1)], int(by_bin.sum()), alpha, delta * share / tests))
+        return pd.DataFrame({"whole": [key[0]], "_cut": [cut]})
+
+    chosen = histogram.join(small(strata, 1000), "s").groupBy("whole", "rule", "bin").agg(F.sum("n").alias("n")).groupBy("whole").applyInPandas(choose, "whole string, _cut array<int>")
+    return strata.join(chosen, "whole").select(F.col("s").alias("_stratum"), "_cut")
+
 
-    return histogram.withColumn("strata", F.lit(strata)).groupBy("s").applyInPandas(choose, "_stratum string, _cut array<int>")
+def base_failed(q: str = "_q") -> Column:
+    return (F.col(f"{q}.n_words") < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > MAX_REPEAT * F.col(f"{q}.n_words"))
 
 
-def verdicts(counted: DataFrame, cut: DataFrame, stratum: str = "lang") -> DataFrame:
-    """counted with base_failed and kept."""
-    cut = small(cut, 1000)
-    on = F.coalesce(counted[stratum].cast("string"), F.lit("")) == cut["_stratum"]
-    broken = F.coalesce(F.exists(F.zip_with(_bins(), F.col("_cut"), lambda b, c: b > c), lambda x: x), F.lit(False))
-    base = (F.col("_q.n_words") < MIN_WORDS) | (100 * F.col("_q.n_repeat_words") > MAX_REPEAT * F.col("_q.n_words"))
-    return counted.join(cut, on, "left").withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~broken).drop("_stratum", "_cut")
+def passing(counted: DataFrame, cut: DataFrame, stratum: str = "lang", q: str = "_q", into: str = "_passes") -> DataFrame:
+    """counted with a boolean: whether neither the base nor a cutoff rejects the text."""
+    name, bounds = fresh_names(counted, 2)
+    cut = small(cut.select(F.col("_stratum").alias(name), F.col("_cut").alias(bounds)), 1000)
+    broken = F.coalesce(F.exists(F.zip_with(_bins(q), F.col(bounds), lambda b, c: b > c), lambda x: x), F.lit(False))
+    return counted.join(cut, _stratum(counted[stratum]) == F.col(name), "left").withColumn(into, ~base_failed(q) & ~broken).drop(name, bounds)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base_failed and kept of every document."""
     counted, _ = materialise(with_counts(table(spark, sf_dir, "documents"), keep=["doc_id", "lang"]), "counts")
     cut, _ = materialise(cutoffs(counted, table(spark, sf_dir, "labels")), "cutoffs")
-    return verdicts(counted, cut).select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in COUNTS[:5]], "base_failed", "kept")
+    done = passing(counted, cut)
+    return done.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in COUNTS[:5]], base_failed().alias("base_failed"), F.col("_passes").alias("kept"))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass; the texts are counted a second time rather than shuffled."""
     counted, _ = materialise(with_counts(docs, keep=["doc_id", "lang"]), "counts")
     cut, _ = materialise(cutoffs(counted, table(spark, sf_dir, "labels")), "cutoffs")
-    return verdicts(with_counts(docs), cut).where("kept").select(docs.columns)
+    q, passes = fresh_names(docs, 2)
+    return passing(with_counts(docs, into=q), cut, q=q, into=passes).where(F.col(passes)).select(docs.columns)

@@ -11,8 +11,8 @@ Manhattan bound comes first, the exact distance second.
 
 Defined cases: a null or blank text has fingerprint 0, and such texts link like
 any others. Equal fingerprints are one node, however many rows hold them. Rows
-with equal ids stay separate rows. An empty table gives an empty result. Only
-the named id and text columns are read, so other columns can't clash.
+with equal ids stay separate rows. A null id is no component's name: a group of null ids alone has a null component. An empty table gives
+an empty result. Only the named id and text columns are read, so other columns can't clash; the stage's own column has a name that the table hasn't.
 """
 
 from __future__ import annotations

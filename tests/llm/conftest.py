@@ -16,11 +16,15 @@ TEXTS = [
 ]
 
 
+#: Names that steps use inside.
+CLASHING = ["cell", "kept", "base_failed", "_q", "_n", "_k", "_id", "_doc", "_dropped", "_t0", "_t1", "own", "row", "fp", "cells", "domain", "key", "_stratum", "_cut"]
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
-    rows = [(i, t, ["en", "fr", None][i % 3], f"src{i % 2}", None if t is None else len(t), i, "x") for i, t in enumerate(TEXTS)]
+    rows = [(i, t, ["en", "fr", None][i % 3], f"src{i % 2}", None if t is None else len(t), i, *["mine"] * len(CLASHING)) for i, t in enumerate(TEXTS)]
     rows += [rows[5], rows[5]]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, a long, cell string")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, a long, " + ", ".join(f"{c} string" for c in CLASHING))
 
 
 @pytest.fixture(scope="session")
