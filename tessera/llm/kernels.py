@@ -7,7 +7,7 @@ the working memory stays bounded; a single longer document is a block alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +47,10 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1]
 
 
+#: What drops a worker's caches. A worker serves all stages of a session, and caches of one must not add to the memory of the next.
+CACHES: list[Callable[[], None]] = []
+
+
 class Block(NamedTuple):
     """Documents first..last-1 of a batch: their bytes, and where each begins and ends."""
 
@@ -58,6 +62,8 @@ class Block(NamedTuple):
 
 def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK) -> Iterator[Block]:
     """The texts of a string column (null: empty) as blocks of bytes."""
+    while CACHES:
+        CACHES.pop()()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())

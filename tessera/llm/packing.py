@@ -34,13 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import kernels
 from tessera.llm.shared import table
 
 TOKENS, SEGMENTS, LOSS, WINDOW = 2048, 64, 1740, 4096
 #: Shares of an example's tokens, its last ones, that bear loss: the others stand for its prompt. Documents have no roles, so the crc32 of the id picks one.
 LOSS_SHARES = (0.3, 0.5, 0.7, 0.9)
 VOCABULARY, END = "word_bpe_49k.json", 1
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_segments long"
 
 
@@ -124,9 +125,10 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer_of(path: str) -> WordTokenizer:
-    """The process's tokenizer; its cache serves all tasks that the worker runs."""
+    """The process's tokenizer; its cache serves all tasks that the worker runs, until it runs another operator's."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+        kernels.CACHES.append(_tokenizers.clear)
     return _tokenizers[path]
 
 
@@ -258,7 +260,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
                 new = [t + end_id for t in tokenizer([(t or "").encode() for t in part.column(1).to_pylist()])]
                 tokens += new
                 size += sum(map(len, new))
-                if len(ids) >= window or size > 1 << 26:
+                if len(ids) >= window or size > 1 << 24:
                     yield packed(ids, tokens, shares)
                     ids, tokens, shares, size = [], [], [], 0
         if ids:
