@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as v
+from tessera.operators.topk import Bars, Match, allowed, match_columns, objects
 
 #: Questions whose vectors are sent to the executors at once.
 QUESTION_BLOCK = 4096
@@ -21,38 +22,39 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm == 0, 1.0, norm)
 
 
-def dense_top(vectors: DataFrame, questions: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding", floor: float = v.DENSE_FLOOR) -> DataFrame:
+def dense_top(vectors: DataFrame, questions: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding", floor: float = v.DENSE_FLOOR, match: Match = ()) -> DataFrame:
     """(query_key, key, dense, rank): the k most similar vectors by cosine above the floor; a zero vector is similar to none.
 
-    Question vectors go out in blocks of QUESTION_BLOCK. A task keeps the k best of
-    each batch of vectors, so what is shuffled is k rows a question and batch, not all pairs.
+    Question vectors go out in blocks of QUESTION_BLOCK. Of a question a task gives only what may be among its k best, with all
+    that tie with the k-th by rounded cosine, not all pairs. match filters before the ranks.
     """
     spark = vectors.sparkSession
     schema = f"{query_key} long, {key} long, dense double"
     parts: list[DataFrame] = []
 
     def scored(block: list) -> DataFrame:
-        ids = spark.sparkContext.broadcast((np.array([r[0] for r in block], dtype=np.int64), _unit(np.array([r[1] for r in block], dtype=np.float64))))
+        wanted = [objects([r[2 + m] for r in block]) for m in range(len(match))]
+        ids = spark.sparkContext.broadcast((np.array([r[0] for r in block], dtype=np.int64), _unit(np.array([r[1] for r in block], dtype=np.float64)), wanted))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, asked = ids.value
+            names, asked, wanted = ids.value
+            bars = Bars(len(names), k, floor)
             for batch in batches:
                 own = batch.column(0).to_numpy()
                 if not len(own):
                     continue
-                x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+                x = _unit(np.array(batch.column(1).to_pylist(), dtype=np.float64))
+                fits = allowed(wanted, [objects(batch.column(2 + m).to_pylist()) for m in range(len(match))])
                 for at in range(0, len(names), 256):
-                    sim = asked[at : at + 256] @ _unit(x).T
-                    best = np.argsort(-sim, axis=1, kind="stable")[:, : k + 8] if len(own) > k + 8 else np.tile(np.arange(len(own)), (len(sim), 1))
-                    q = np.repeat(np.arange(len(sim)), best.shape[1])
-                    i = best.ravel()
-                    keep = sim[q, i] > floor
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 256][q][keep]), pa.array(own[i][keep]), pa.array(sim[q, i][keep])], [query_key, key, "dense"])
+                    block = slice(at, min(at + 256, len(names)))
+                    sim = asked[block] @ x.T
+                    q, i = np.nonzero(bars.keep(block, np.round(sim, 9), None if fits is None else fits[block]) & (sim > floor))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[block][q]), pa.array(own[i]), pa.array(sim[q, i])], [query_key, key, "dense"])
 
-        return vectors.select(F.col(key).cast("long").alias(key), vector).mapInArrow(run, schema)
+        return vectors.select(F.col(key).cast("long").alias(key), vector, *match_columns(match, False)).mapInArrow(run, schema)
 
     block: list = []
-    for row in questions.select(F.col(query_key).cast("long"), vector).toLocalIterator():
+    for row in questions.select(F.col(query_key).cast("long"), vector, *match_columns(match, True)).toLocalIterator():
         block.append(row)
         if len(block) == QUESTION_BLOCK:
             parts.append(scored(block))

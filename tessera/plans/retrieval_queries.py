@@ -9,6 +9,7 @@ from tessera.functions import vocabulary as v
 from tessera.operators import bm25, compose, fusion
 from tessera.plans import sql
 from tessera.plans.registry import query, table
+from tessera.sources.steps import written
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +21,6 @@ _TOKENS = f"tok AS (SELECT doc_id, unnest({sql.tokens('text')}) AS term FROM doc
 _SCORES = f"qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({sql.tokens('text')}) AS term FROM benchmark) GROUP BY ALL), sc AS (SELECT query_id, doc_id, round(sum(qtf * {sql.idf('n', 'df')} * {sql.weight('tf', 'dl', 'avgdl')}), 9) AS bm25 FROM qt JOIN tf USING (term) JOIN dfs USING (term) JOIN len0 USING (doc_id), st GROUP BY query_id, doc_id)"
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return bm25.scores(docs, asked(spark, sf_dir), "doc_id").withColumn("bm25", F.round("bm25", 9))
-
-
 @query(f"WITH {_TOKENS} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 def doc_lengths_avgdl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.corpus_size(table(spark, sf_dir, "documents"), "doc_id").select("n", F.round("avgdl", 6).alias("avgdl"))
@@ -37,14 +33,15 @@ def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS}, {_SCORES} SELECT query_id, doc_id, round(bm25, 6) AS bm25, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM sc WHERE bm25 > 0) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.top(_scored(spark, sf_dir), "bm25", "doc_id", 10).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
+    (found,) = bm25.best(table(spark, sf_dir, "documents"), asked(spark, sf_dir), "doc_id", 10)
+    return found.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @query(f"WITH {_TOKENS}, {_SCORES} SELECT query_id, doc_id, round(bm25, 6) AS bm25, rank::INT AS rank FROM (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM sc JOIN documents USING (doc_id) WHERE bm25 > 0 AND lang = 'fr') WHERE rank <= 10")
 def bm25_filtered_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter comes after the global statistics and before the ranks."""
-    french = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id")
-    return bm25.top(_scored(spark, sf_dir).join(french, "doc_id", "left_semi"), "bm25", "doc_id", 10).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
+    (found,) = bm25.best(table(spark, sf_dir, "documents"), asked(spark, sf_dir).withColumn("f_lang", F.lit("fr")), "doc_id", 10, match=[("lang", "f_lang")])
+    return found.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 _FIRST = f"r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM sc WHERE bm25 > 0 QUALIFY rank <= {v.POOL})"
@@ -54,14 +51,8 @@ _FUSED = f"fu AS (SELECT query_id, doc_id, r1.rank AS rank_0, r2.rank AS rank_1,
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 fused with the number of shared terms."""
-    from tessera.functions.text import tokenize
-
-    docs, questions = table(spark, sf_dir, "documents"), asked(spark, sf_dir)
-    one = bm25.top(_scored(spark, sf_dir), "bm25", "doc_id", v.POOL)
-    terms = questions.select("query_id", F.explode(F.array_distinct(tokenize(F.col("question")))).alias("term"))
-    known = bm25.bounded_broadcast(terms, bm25.MOST_TERMS)
-    shared = docs.select("doc_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).join(known, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    return fusion.reciprocal_ranks([one, bm25.top(shared, "shared", "doc_id", v.POOL)], "doc_id")
+    both = bm25.best(table(spark, sf_dir, "documents"), asked(spark, sf_dir), "doc_id", v.POOL, kinds=("bm25", "shared"))
+    return fusion.reciprocal_ranks(both, "doc_id")
 
 
 @query(f"WITH {_TOKENS}, {_SCORES}, {_FIRST}, {_SECOND}, {_FUSED} SELECT query_id, doc_id, round(rrf, 9) AS rrf, rank::INT AS rank FROM pool")
@@ -80,7 +71,7 @@ _POOLED = (
 
 @query(f"WITH {_TOKENS}, {_SCORES}, {_FIRST}, {_SECOND}, {_FUSED}, {_POOLED} SELECT query_id, doc_id, round(final, 9) AS final, (row_number() OVER (PARTITION BY query_id ORDER BY round(final, 12) DESC, rank, doc_id))::INT AS final_rank FROM bl")
 def pool_rerank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = _fused(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(asked(spark, sf_dir), "query_id")
+    pool = written(_fused(spark, sf_dir), "fused").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(asked(spark, sf_dir), "query_id")
     return fusion.blend(bm25.pool_scores(pool, "query_id", "doc_id"), "doc_id").select("query_id", "doc_id", F.round("final", 9).alias("final"), "final_rank")
 
 
@@ -103,10 +94,9 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each question the most similar other vector with the same label, at cosine 0.2 or more."""
     rows = table(spark, sf_dir, "embeddings")
-    vectors, questions = _vectors(spark, sf_dir)
-    near = fusion.dense_top(vectors, questions, "vec_id", "query_id", 2**20, floor=0.2 - 1e-12)
-    labelled = near.join(rows.select("vec_id", "label"), "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").where("label = own and vec_id <> query_id")
-    return bm25.top(labelled.drop("rank").withColumn("r", F.round("dense", 9)), "r", "vec_id", 1).select("query_id", F.col("vec_id").alias("cached"), F.round("dense", 6).alias("cosine"))
+    questions = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("own"))
+    near = fusion.dense_top(rows, questions, "vec_id", "query_id", 2, floor=0.2 - 1e-12, match=[("label", "own")]).where("vec_id <> query_id")
+    return bm25.top(near.drop("rank").withColumn("r", F.round("dense", 9)), "r", "vec_id", 1).select("query_id", F.col("vec_id").alias("cached"), F.round("dense", 6).alias("cosine"))
 
 
 @query()

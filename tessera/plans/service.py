@@ -53,27 +53,20 @@ def build(docs: DataFrame, settings: Settings) -> Index:
     return Index(chunks, vectors, frequencies, n)
 
 
-def _allowed(ranked: DataFrame, idx: Index, questions: DataFrame) -> DataFrame:
-    """Scores of chunks that pass the question's filters; statistics stay global."""
-    meta = idx.chunks.select("chunk_ord", "unit_model", "safety")
-    filters = questions.select("query_id", F.nullif(F.col("f_unit"), F.lit("")).alias("f_unit"), "f_safety")
-    joined = ranked.join(meta, "chunk_ord").join(filters, "query_id")
-    return joined.where("(f_unit is null or coalesce(unit_model = f_unit, false)) and (f_safety is null or safety = f_safety)").select(ranked.columns)
-
-
 def search(questions: DataFrame, idx: Index, settings: Settings) -> DataFrame:
     """questions: query_id, question, retrieval_query, f_unit, f_safety. (query_id, question, chunk_ord, text, ..., rrf, rerank, final, rank)."""
     branches = []
-    asked = questions.select("query_id", F.col("retrieval_query").alias("question"))
+    asked = questions.select("query_id", F.col("retrieval_query").alias("question"), F.nullif(F.col("f_unit"), F.lit("")).alias("f_unit"), "f_safety")
+    match = [("unit_model", "f_unit"), ("safety", "f_safety")]
     if settings.mode != "dense":
-        scored = _allowed(bm25.scores(idx.chunks, asked, "chunk_ord"), idx, questions)
-        branches.append(bm25.top(scored, "bm25", "chunk_ord", settings.pool))
+        branches += bm25.best(idx.chunks, asked, "chunk_ord", settings.pool, match=match)
     if settings.mode != "bm25":
         weights = index.tfidf(asked.withColumnRenamed("question", "text"), "query_id", idx.frequencies, idx.n)
-        near = fusion.dense_top(idx.vectors, index.hashed_vectors(weights, "query_id"), "chunk_ord", "query_id", 2**20)
-        branches.append(bm25.top(_allowed(near.drop("rank"), idx, questions), "dense", "chunk_ord", settings.pool, floor=v.DENSE_FLOOR))
+        vectors = index.hashed_vectors(weights, "query_id").join(asked.select("query_id", "f_unit", "f_safety"), "query_id")
+        held = idx.vectors.join(idx.chunks.select("chunk_ord", "unit_model", "safety"), "chunk_ord")
+        branches.append(fusion.dense_top(held, vectors, "chunk_ord", "query_id", settings.pool, match=match))
     fused = fusion.reciprocal_ranks(branches, "chunk_ord", pool=settings.pool)
-    pool = written(fused.join(idx.chunks, "chunk_ord").join(asked, "query_id"), "fused")
+    pool = written(fused.join(idx.chunks, "chunk_ord").join(asked.select("query_id", "question"), "query_id"), "fused")
     if settings.rerank:
         pool = fusion.blend(bm25.pool_scores(pool, "query_id", "chunk_ord"), "chunk_ord", top_k=settings.top_k if settings.truncate and settings.diversity is None else None)
     else:

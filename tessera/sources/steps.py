@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; where it is unset, in a temporary one of this machine."""
+    """A new folder in the one that spark.checkpoint.dir names; where it is unset and all runs on this machine, in a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
