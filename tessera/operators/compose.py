@@ -104,3 +104,11 @@ def with_exact_rows(answers: DataFrame, direct: DataFrame) -> DataFrame:
     """Answers with the exact rows of the question's codes put before."""
     rows = direct.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code_pos", "rendered_row"))), lambda x: F.concat(F.lit("- "), x["rendered_row"])), "\n").alias("rows"))
     return answers.join(rows, "query_id", "left").withColumn("answer", F.coalesce(F.concat(F.lit(v.EXACT_HEADER + "\n"), "rows", F.lit("\n\n"), "answer"), F.col("answer"))).drop("rows")
+
+
+def events(answers: DataFrame, key: str = "query_id") -> DataFrame:
+    """Answers as they are streamed: (key, seq, event, data): meta, then a token a word with the blanks after it, then done. A null answer has no tokens."""
+    tokens = F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit("\\S+\\s*"), F.lit(0))
+    made = lambda name, data: F.struct(F.lit(name).alias("event"), data.alias("data"))
+    all_ = F.concat(F.array(made("meta", F.lit(""))), F.transform(tokens, lambda t: made("token", t)), F.array(made("done", F.lit(""))))
+    return answers.select(key, F.posexplode(all_).alias("seq", "e")).select(key, "seq", "e.event", "e.data")

@@ -68,6 +68,12 @@ def dense_top(vectors: DataFrame, questions: DataFrame, key: str, query_key: str
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def cached(entries: DataFrame, questions: DataFrame, key: str, query_key: str, match: Match, threshold: float = v.SEMANTIC_CACHE) -> DataFrame:
+    """(query_key, key, cosine): for each question the most similar entry that match allows, at the threshold or above; of equal ones the first."""
+    near = dense_top(entries, questions, key, query_key, 1, floor=threshold - 1e-12, match=match)
+    return near.select(query_key, key, F.col("dense").alias("cosine"))
+
+
 def reciprocal_ranks(branches: list[DataFrame], key: str, query_key: str = "query_id", k: int = v.RRF_K, pool: int = v.POOL) -> DataFrame:
     """branches: (query_key, key, rank), best first. (query_key, key, rrf, rank_0, rank_1, ..., rank): the pool best.
 

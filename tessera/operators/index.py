@@ -23,6 +23,29 @@ def fit_digest(frequencies: DataFrame) -> str:
     return f"{n:x}-{x & (2**64 - 1):016x}-{int(s) & (2**64 - 1):016x}"
 
 
+def embedder_digest(provider: str, model: str, dim: int, fit: str) -> str:
+    """What vectors must have in common to be compared."""
+    return f"{provider}:{model}:{dim}:{fit}"
+
+
+def content_digest(chunks: DataFrame) -> str:
+    """Digest of all chunks' ids and texts, by XOR and number; it doesn't depend on their order."""
+    n, x = chunks.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("id", "text")), F.lit(0))).first()
+    return f"{n:x}-{x & (2**64 - 1):016x}"
+
+
+def dimension(vectors: DataFrame | None, probe) -> int:
+    """The length of the vectors there are; without any, that of probe(), a vector of some text."""
+    row = vectors.where("embedding is not null").select(F.size("embedding").alias("n")).first() if vectors is not None else None
+    return row.n if row else len(probe())
+
+
+def by_id(chunks: DataFrame, ids: DataFrame, key: str = "id", order: str = "chunk_ord") -> DataFrame:
+    """The chunks that ids (a column of that name) name; of chunks with the same id the last. Ids that no chunk has give no row."""
+    wanted = chunks.join(ids.select(key).distinct(), key, "left_semi")
+    return wanted.groupBy(key).agg(F.max_by(F.struct(*[c for c in chunks.columns if c != key]), order).alias("_c")).select(key, "_c.*")
+
+
 def tfidf(chunks: DataFrame, key: str, frequencies: DataFrame, n: int, text: str = "text") -> DataFrame:
     """(key, feature, weight); features that the table hasn't are dropped."""
     tf = chunks.select(key, F.explode(ngram_features(F.col(text))).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("tf"))

@@ -106,16 +106,25 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.pick(values, ["event_type"], "value", {**evaluate.eval_places(), **evaluate.metric_places()})
 
 
-@query("SELECT conv_id, turn, first_value(conv_id * 1000000 + turn) OVER (PARTITION BY role, lower(trim(text)) ORDER BY conv_id, turn) AS answered_by FROM conversations")
+@query("SELECT conv_id, turn, first_value(conv_id || '/' || turn) OVER (PARTITION BY role, lower(trim(text)) ORDER BY conv_id, turn) AS answered_by FROM conversations")
 def exact_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first turn of the same role and text, without case and outer blanks, answers the others."""
-    rows = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000000 + F.col("turn"))
-    keyed = rows.withColumn("q", F.lower(F.trim("text")))
-    # The least id is a partial aggregate, so a very common question does no harm.
-    first = keyed.groupBy("role", "q").agg(F.min("id").alias("answered_by"))
+    keyed = table(spark, sf_dir, "conversations").withColumn("q", F.lower(F.trim("text")))
+    # The least turn is a partial aggregate, so a very common question does no harm.
+    first = keyed.groupBy("role", "q").agg(F.min(F.struct("conv_id", "turn")).alias("f")).select("role", "q", F.concat_ws("/", F.col("f.conv_id").cast("string"), F.col("f.turn").cast("string")).alias("answered_by"))
     return keyed.join(first, ["role", "q"]).select("conv_id", "turn", "answered_by")
 
 
+@query(
+    "WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '\\S+\\s*') AS l FROM conversations), e AS (SELECT conv_id, turn, unnest(range(len(l) + 2)) AS seq, l FROM t) "
+    "SELECT conv_id, turn, seq::INT AS seq, CASE WHEN seq = 0 THEN 'meta' WHEN seq <= len(l) THEN 'token' ELSE 'done' END AS event, CASE WHEN seq > 0 AND seq <= len(l) THEN l[seq] ELSE '' END AS data FROM e"
+)
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's text as an answer that is streamed."""
+    answers = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("answer"))
+    return compose.events(answers).select("query_id.conv_id", "query_id.turn", "seq", "event", "data")
+
+
 def _settings() -> service.Settings:
     return service.Settings(units={m: (p, {"T100": ["heat pump"], "K7": ["chiller"]}[m]) for m, p in UNITS.items()})
 

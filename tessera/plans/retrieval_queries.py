@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as v
-from tessera.operators import bm25, compose, fusion
+from tessera.operators import bm25, compose, fusion, index
 from tessera.plans import sql
 from tessera.plans.registry import query, table
 from tessera.sources.steps import written
@@ -99,6 +99,22 @@ def semantic_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top(near.drop("rank").withColumn("r", F.round("dense", 9)), "r", "vec_id", 1).select("query_id", F.col("vec_id").alias("cached"), F.round("dense", 6).alias("cosine"))
 
 
+@query(f"SELECT query_id, vec_id AS entry, round(s, 6) AS cosine FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE.format(a='q.embedding', b='e.embedding')} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id % 100 <> 0 AND q.label = e.label AND s >= 0.2) WHERE rank = 1")
+def semantic_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the questions asked against all others as entries of a cache; labels stand for scopes."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("own"))
+    found = fusion.cached(rows.where("vec_id % 100 <> 0").withColumnRenamed("vec_id", "entry"), asked, "entry", "query_id", [("label", "own")], 0.2)
+    return found.select("query_id", "entry", F.round("cosine", 6).alias("cosine"))
+
+
+@query("SELECT conv_id AS id, max(turn) AS chunk_ord, arg_max(text, turn) AS text FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id")
+def chunk_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations stand for ids that occur more than once, turns for their order: the last one is found."""
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("chunk_ord"), "text")
+    return index.by_id(chunks, chunks.where("id % 3 = 0"))
+
+
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, questions = _vectors(spark, sf_dir)

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import providers
 from tessera.functions import vocabulary as v
 from tessera.functions.text import escalation_message
 from tessera.operators import bm25, compose, evaluate, fusion, index, manuals, understand
 from tessera.sources.steps import written
 
 
+RERANKERS = ("bm25", "cross-encoder", "none")
+
+
 @dataclass
 class Settings:
-    """mode: hybrid, bm25 or dense. truncate: whether top_k cuts the reranked pool. units: (pattern, implying words) by model."""
+    """mode: hybrid, bm25 or dense. truncate: whether top_k cuts the reranked pool. units: (pattern, implying words) by model.
+
+    reranker: one of RERANKERS; cross_encoder and llm name models registered with functions.providers. Without an llm, answers are extracted.
+    """
 
     mode: str = "hybrid"
     top_k: int = v.TOP_K
     pool: int = v.POOL
-    rerank: bool = True
+    reranker: str = "bm25"
+    cross_encoder: str | None = None
+    llm: str | None = None
     truncate: bool = True
     diversity: float | None = None
     guardrail: bool = True
@@ -31,6 +41,20 @@ class Settings:
     def __post_init__(self) -> None:
         if self.mode not in ("hybrid", "bm25", "dense"):
             raise ValueError(f"unknown mode {self.mode!r}")
+        if self.reranker not in RERANKERS:
+            raise ValueError(f"unknown reranker {self.reranker!r}; known: {RERANKERS}")
+        if self.reranker == "cross-encoder":
+            providers.provider("cross-encoder", self.cross_encoder)
+        if self.llm is not None:
+            providers.provider("llm", self.llm)
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "TESSERA_", **more) -> Settings:
+        """The settings that variables like TESSERA_TOP_K give (units excepted), and more, which come first."""
+        env = os.environ if env is None else env
+        parse = {"int": int, "bool": lambda x: x.strip().lower() in ("1", "true", "yes", "on"), "float | None": float}
+        named = {f.name: parse.get(f.type, str)(env[prefix + f.name.upper()]) for f in fields(cls) if f.name != "units" and env.get(prefix + f.name.upper())}
+        return cls(**{**named, **more})
 
 
 @dataclass
@@ -39,36 +63,47 @@ class Index:
     vectors: DataFrame
     frequencies: DataFrame
     n: int
+    version: str = ""
+
+
+#: What an answer has, besides its question.
+ANSWER = ["answer", "citations", "code_refs", "escalation", "escalation_topics", "diagram_refs"]
 
 
 def build(docs: DataFrame, settings: Settings) -> Index:
-    """docs: (source_doc, doc_ord, text). chunk_ord becomes a long: document, section and place in it, in reading order."""
+    """docs: (source_doc, doc_ord, text), and doc_type ("manual" where it is missing or null). chunk_ord becomes a long: document, section and place in it, in reading order."""
     parsed = written(manuals.sections(docs, {m: p for m, (p, _) in settings.units.items()}), "sections")
     rows = manuals.chunks(parsed)
     ord_ = F.expr("((chunk_ord.doc_ord * 100000 + chunk_ord.section_ord) * 4 + chunk_ord.kind_ord) * 100000 + chunk_ord.seq").alias("chunk_ord")
-    chunks = written(rows.select(ord_, *[c for c in rows.columns if c != "chunk_ord"]), "chunks")
+    kinds = docs.select("doc_ord", F.coalesce(F.col("doc_type") if "doc_type" in docs.columns else F.lit(None).cast("string"), F.lit("manual")).alias("doc_type"))
+    typed = rows.withColumn("doc_ord", F.col("chunk_ord.doc_ord")).join(kinds, "doc_ord")
+    chunks = written(typed.select(ord_, *[c for c in rows.columns if c != "chunk_ord"], "doc_type"), "chunks")
     frequencies = written(index.feature_frequencies(chunks), "features")
     n = chunks.count()
     vectors = written(index.hashed_vectors(index.tfidf(chunks, "chunk_ord", frequencies, n), "chunk_ord"), "vectors")
-    return Index(chunks, vectors, frequencies, n)
+    return Index(chunks, vectors, frequencies, n, index.embedder_digest("native", "hashed", v.EMBEDDING_DIM, index.fit_digest(frequencies)) + "/" + index.content_digest(chunks))
 
 
 def search(questions: DataFrame, idx: Index, settings: Settings) -> DataFrame:
-    """questions: query_id, question, retrieval_query, f_unit, f_safety. (query_id, question, chunk_ord, text, ..., rrf, rerank, final, rank)."""
+    """questions: query_id, question, retrieval_query, f_unit, f_safety, and f_doc_type if chunks of one type of document only are wanted. (query_id, question, chunk_ord, text, ..., rrf, rerank, final, rank).
+
+    A filter that is null (of unit and type also an empty one) is none; a chunk without the value fails any other.
+    """
     branches = []
-    asked = questions.select("query_id", F.col("retrieval_query").alias("question"), F.nullif(F.col("f_unit"), F.lit("")).alias("f_unit"), "f_safety")
-    match = [("unit_model", "f_unit"), ("safety", "f_safety")]
+    asked = questions.select("query_id", F.col("retrieval_query").alias("question"), F.nullif(F.col("f_unit"), F.lit("")).alias("f_unit"), "f_safety", _type_filter(questions).alias("f_doc_type"))
+    match = [("unit_model", "f_unit"), ("safety", "f_safety"), ("doc_type", "f_doc_type")]
     if settings.mode != "dense":
         branches += bm25.best(idx.chunks, asked, "chunk_ord", settings.pool, match=match)
     if settings.mode != "bm25":
         weights = index.tfidf(asked.withColumnRenamed("question", "text"), "query_id", idx.frequencies, idx.n)
-        vectors = index.hashed_vectors(weights, "query_id").join(asked.select("query_id", "f_unit", "f_safety"), "query_id")
-        held = idx.vectors.join(idx.chunks.select("chunk_ord", "unit_model", "safety"), "chunk_ord")
+        vectors = index.hashed_vectors(weights, "query_id").join(asked.select("query_id", "f_unit", "f_safety", "f_doc_type"), "query_id")
+        held = idx.vectors.join(idx.chunks.select("chunk_ord", "unit_model", "safety", "doc_type"), "chunk_ord")
         branches.append(fusion.dense_top(held, vectors, "chunk_ord", "query_id", settings.pool, match=match))
     fused = fusion.reciprocal_ranks(branches, "chunk_ord", pool=settings.pool)
     pool = written(fused.join(idx.chunks, "chunk_ord").join(asked.select("query_id", "question"), "query_id"), "fused")
-    if settings.rerank:
-        pool = fusion.blend(bm25.pool_scores(pool, "query_id", "chunk_ord"), "chunk_ord", top_k=settings.top_k if settings.truncate and settings.diversity is None else None)
+    if settings.reranker != "none":
+        scored = bm25.pool_scores(pool, "query_id", "chunk_ord") if settings.reranker == "bm25" else providers.cross_encode(pool, providers.provider("cross-encoder", settings.cross_encoder))
+        pool = fusion.blend(scored, "chunk_ord", top_k=settings.top_k if settings.truncate and settings.diversity is None else None)
     else:
         pool = pool.withColumn("rerank", F.lit(0.0)).withColumn("final", F.col("rrf")).withColumn("final_rank", F.col("rank")).where(F.col("rank") <= settings.top_k)
     pool = pool.drop("rank", "question").withColumnRenamed("final_rank", "rank").join(questions.select("query_id", "question"), "query_id")
@@ -78,13 +113,55 @@ def search(questions: DataFrame, idx: Index, settings: Settings) -> DataFrame:
     return pool
 
 
-def ask(questions: DataFrame, idx: Index, settings: Settings) -> DataFrame:
-    """questions: query_id, question, context_unit, f_safety (null: any). One answer each: answer, citations, code_refs, escalation, escalation_topics, diagram_refs, cache_hit.
+def _type_filter(questions: DataFrame) -> Column:
+    return F.nullif(F.col("f_doc_type"), F.lit("")) if "f_doc_type" in questions.columns else F.lit(None).cast("string")
+
+
+def trace(ranked: DataFrame, settings: Settings) -> DataFrame:
+    """One row for each question of a search: mode, rrf_k, pool_size, and by chunk id the scores of fusion and rerank."""
+    by_id = lambda score: F.map_from_entries(F.collect_list(F.struct("id", score)))
+    once = ranked.groupBy("query_id", "id").agg(F.max("rrf").alias("rrf"), F.max("rerank").alias("rerank"))
+    return once.groupBy("query_id").agg(F.lit(settings.mode).alias("mode"), F.lit(v.RRF_K).alias("rrf_k"), F.count(F.lit(1)).alias("pool_size"), by_id("rrf").alias("rrf"), by_id("rerank").alias("rerank"))
+
 
-    Equal questions (without case and outer blanks, same filters) are answered once.
+def _scope(questions: DataFrame, idx: Index, settings: Settings) -> Column:
+    """What must be equal for a cached answer to hold: the filters, the mode and depth, and the index."""
+    parts = [F.coalesce(F.trim("context_unit"), F.lit("")), F.coalesce(F.col("f_safety").cast("string"), F.lit("")), F.coalesce(_type_filter(questions), F.lit(""))]
+    return F.concat_ws("\u0000", *parts, F.lit(settings.mode), F.lit(str(settings.top_k)), F.lit(idx.version))
+
+
+def _question_vectors(questions: DataFrame, idx: Index) -> DataFrame:
+    texts = questions.select("query_id", F.lower(F.trim("question")).alias("text"))
+    return index.hashed_vectors(index.tfidf(texts, "query_id", idx.frequencies, idx.n), "query_id")
+
+
+def cache_entries(questions: DataFrame, answers: DataFrame, idx: Index, settings: Settings) -> DataFrame:
+    """Answers as cache for later questions: query_id, scope, embedding and the answer's columns. Answers that came from a cache aren't entered again.
+
+    Entries of another index (of another version) never match, so an ingest makes a cache void.
     """
-    same = [F.lower(F.trim("question")), F.coalesce("context_unit", F.lit("")), F.coalesce(F.col("f_safety").cast("string"), F.lit(""))]
-    keyed = questions.withColumn("first_id", F.min("query_id").over(W.partitionBy(*same)))
+    own = questions.withColumn("scope", _scope(questions, idx, settings)).select("query_id", "scope")
+    return own.join(_question_vectors(questions, idx), "query_id").join(answers.where("not cache_hit").select("query_id", *ANSWER), "query_id")
+
+
+def ask(questions: DataFrame, idx: Index, settings: Settings, cache: DataFrame | None = None, threshold: float = v.SEMANTIC_CACHE) -> DataFrame:
+    """questions: query_id, question, context_unit, f_safety (null: any), f_doc_type if wanted. One answer each: answer, citations, code_refs, escalation, escalation_topics, diagram_refs, cache_hit.
+
+    Equal questions (without case and outer blanks, same filters) are answered once. cache (see cache_entries) answers the questions of which an
+    entry of equal scope has cosine threshold or more: the most similar entry, and of equal ones the first.
+    """
+    if cache is not None:
+        scoped = questions.withColumn("scope", _scope(questions, idx, settings))
+        asked = _question_vectors(questions, idx).join(scoped.select("query_id", F.col("scope").alias("own")), "query_id")
+        near = fusion.cached(cache.select(F.col("query_id").alias("entry"), "scope", "embedding"), asked, "entry", "query_id", [("scope", "own")], threshold)
+        hits = written(near.join(cache.select(F.col("query_id").alias("entry"), *ANSWER), "entry"), "cached").drop("entry", "cosine")
+        found = questions.join(hits, "query_id").withColumn("cache_hit", F.lit(True))
+        return found.unionByName(ask(questions.join(hits.select("query_id"), "query_id", "left_anti"), idx, settings))
+    same = [F.lower(F.trim("question")), F.coalesce("context_unit", F.lit("")), F.coalesce(F.col("f_safety").cast("string"), F.lit("")), F.coalesce(_type_filter(questions), F.lit(""))]
+    # The first of equal questions is a partial aggregate, so a very common one does no harm.
+    told_by = questions.select("query_id", F.struct(*same).alias("same"))
+    told_by = told_by.join(told_by.groupBy("same").agg(F.min("query_id").alias("first_id")), "same").select("query_id", "first_id")
+    keyed = questions.join(told_by, "query_id")
     first = keyed.where("query_id = first_id").drop("first_id")
     codes = idx.chunks.select(F.explode("code_anchors").alias("code"))
     analyzed = written(understand.analyze(first, codes, settings.units, context="context_unit").withColumn("f_unit", F.coalesce(F.nullif(F.col("context_unit"), F.lit("")), F.col("unit_model"))), "analyzed")
@@ -94,7 +171,7 @@ def ask(questions: DataFrame, idx: Index, settings: Settings) -> DataFrame:
     ranked = written(search(wanted, idx, settings), "ranked")
     decided = written(compose.guardrail(analyzed, ranked, direct, settings.guardrail), "decided")
     calm = decided.where("not escalate").select("query_id")
-    told = compose.extractive_answer(ranked.join(calm, "query_id", "left_semi"))
+    told = _answers(ranked.join(calm, "query_id", "left_semi"), direct.join(calm, "query_id", "left_semi"), analyzed, settings)
     told = calm.join(told, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(v.NOT_COVERED)))
     told = written(compose.with_exact_rows(told, direct), "told")
     cited = compose.citations(told.join(direct.select("query_id").distinct(), "query_id", "left_anti"), ranked).select("query_id", "chunk_ord", F.col("place").cast("int").alias("place"))
@@ -124,6 +201,15 @@ def ask(questions: DataFrame, idx: Index, settings: Settings) -> DataFrame:
     return keyed.join(out, "first_id").withColumn("cache_hit", F.col("query_id") != F.col("first_id")).drop("first_id")
 
 
+def _answers(ranked: DataFrame, direct: DataFrame, analyzed: DataFrame, settings: Settings) -> DataFrame:
+    """(query_id, answer): by the model that settings name from the prompt of each question, else extracted."""
+    if settings.llm is None:
+        return compose.extractive_answer(ranked)
+    asked = compose.prompt(ranked, direct).join(analyzed.select("query_id", "question"), "query_id")
+    asked = asked.select("query_id", F.concat(F.lit("Context:\n"), F.array_join("blocks", "\n\n"), F.lit("\n\nQuestion: "), "question").alias("prompt"))
+    return providers.complete(asked, providers.provider("llm", settings.llm)).select("query_id", "answer")
+
+
 def run_eval(golden: DataFrame, idx: Index, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(items, report) of golden items: recall at k and over the pool, citations, groundedness, violations."""
     questions = golden.select(F.col("id").alias("query_id"), "question", F.lit(None).cast("string").alias("context_unit"), F.lit(None).cast("boolean").alias("f_safety"))

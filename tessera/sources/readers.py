@@ -15,7 +15,7 @@ GOLDEN = "id string, question string, expected_section string, expected_code str
 
 def manuals(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """(source_doc, doc_ord, text) of a folder's files, not of its subfolders, in order of their names."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_name").alias("source_doc"), F.col("value").alias("text"))
+    files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("source_doc"), F.col("value").alias("text"))
     # Names alone are ordered: a narrow table with one row a file.
     order = files.select("source_doc").withColumn("doc_ord", F.row_number().over(W.orderBy("source_doc")).cast("long") - 1)
     return files.join(order, "source_doc").select("source_doc", "doc_ord", "text")
@@ -66,6 +66,16 @@ def pdf_images(spark: SparkSession, folder: str, render: Callable[[bytes], list[
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path", "content").mapInPandas(run, "name string, content binary")
 
 
+def to_json(df: DataFrame) -> DataFrame:
+    """(json): each row as a JSON object, nulls included."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json(df: DataFrame, schema) -> DataFrame:
+    """Rows of (json) by a schema; a text that is no such object fails, as it isn't one of to_json's."""
+    return df.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def manifest(docs: DataFrame) -> DataFrame:
     """(source_doc, sha256) of texts."""
     return docs.select("source_doc", F.sha2("text", 256).alias("sha256"))
