@@ -3,8 +3,8 @@
 Three kinds of strong findings stand alone: assignments to a secret-like name,
 cloud access identifiers, and long hex strings. Three kinds of weak candidates
 say little alone: identifier-like tokens, random-looking tokens, and endpoints.
-A weak candidate is reported only where complementary parts lie within REACH
-code points of it inside the same scope (a row's text): an identifier needs a
+A weak candidate is reported only where complementary parts start within REACH
+code points of its own start inside the same scope (a row's text): an identifier needs a
 secret, a secret an identifier or endpoint, an endpoint both. A weak
 candidate that overlaps a strong finding is dropped.
 
