@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,15 +11,17 @@ from pyspark.sql.streaming import StreamingQuery
 from tessera.functions.text import content_hash
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, key: str = "id", once: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, table: str, checkpoint: str, key: str = "id", once: bool = True, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Appends the stream's rows that are new or changed to the Parquet folder table, with content_hash and version (the batch's number).
 
     The newest version of a key is its row; latest() reads them. A batch that runs again finds what it wrote before and writes nothing twice.
+    prepare makes the rows of a batch, such as chunks of documents; rows that a later batch doesn't make again stay.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("content_hash", content_hash(F.col("text"))).dropDuplicates([key, "content_hash"]).withColumn("version", F.lit(number).cast("long"))
+        made = batch if prepare is None else prepare(batch)
+        rows = made.withColumn("content_hash", content_hash(F.col("text"))).dropDuplicates([key, "content_hash"]).withColumn("version", F.lit(number).cast("long"))
         try:
             old = latest(spark.read.parquet(table), key).select(key, "content_hash")
         except Exception as e:

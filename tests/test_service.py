@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import providers
-from tessera.operators import compose, index
+from tessera.operators import compose, index, manuals
 from tessera.plans import cli, service
 from tessera.sources import readers
+from tessera.streaming import ingest
 
 MANUALS = [
     ("pump.md", 0, "# Pump book\n## Cleaning the filter\nRinse the filter with water once a month and let it dry before use.\n## Storage of parts\nKeep all the parts of the pump in a dry and dark room in winter.\n", "manual"),
@@ -92,3 +93,20 @@ def test_manuals_are_whole_files(spark, tmp_path):
     for name, text in (("b.md", "one\ntwo\n"), ("a.md", "three"), ("c.txt", "no")):
         (tmp_path / name).write_text(text)
     assert sorted(map(tuple, readers.manuals(spark, str(tmp_path)).collect())) == [("a.md", 0, "three"), ("b.md", 1, "one\ntwo\n")]
+
+
+def test_documents_are_ingested_as_chunks(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "chunks")
+    schema = "source_doc string, doc_ord long, text string"
+
+    def arrive(text):
+        spark.createDataFrame([("pump.md", 0, text)], schema).write.mode("append").parquet(source)
+        prepare = lambda docs: manuals.chunks(manuals.sections(docs, {}))
+        ingest.ingest(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "checkpoint"), prepare=prepare).awaitTermination()
+        return {r.id: (r.version, r.text) for r in ingest.latest(spark.read.parquet(table)).collect()}
+
+    first = arrive(MANUALS[0][2])
+    assert {i: version for i, (version, _) in first.items()} == {"pump:cleaning-the-filter:sec": 0, "pump:storage-of-parts:sec": 0}
+    second = arrive(MANUALS[0][2].replace("winter", "summer"))
+    assert {i: version for i, (version, _) in second.items()} == {"pump:cleaning-the-filter:sec": 0, "pump:storage-of-parts:sec": 1}
+    assert "summer" in second["pump:storage-of-parts:sec"][1]
