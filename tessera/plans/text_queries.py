@@ -32,7 +32,8 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t.normalise(text), 256).alias("normalised"), F.size(t.numbers(text)).cast("long").alias("n_numbers"), F.size(t.sentences(text)).cast("long").alias("n_sentences"), t.negates(text).alias("negates"), t.is_procedural(text).alias("procedural"))
+    told = lambda signal: F.when(text.isNotNull(), signal)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t.normalise(text), 256).alias("normalised"), told(F.size(t.numbers(text)).cast("long")).alias("n_numbers"), F.size(t.sentences(text)).cast("long").alias("n_sentences"), told(t.negates(text)).alias("negates"), told(t.is_procedural(text)).alias("procedural"))
 
 
 @query("SELECT h AS content_hash, count(*)::BIGINT AS n, min(doc_id) AS first_id FROM (SELECT doc_id, sha256(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS h FROM documents) GROUP BY h")
