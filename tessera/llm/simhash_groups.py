@@ -35,6 +35,8 @@ from tessera.llm.shared import fresh_names, materialise, small, table
 
 RADIUS, SPARE, SHINGLE = 4, 2, 4
 STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BANDS, STAGE_ORDERS = 5, 0.8, 16, 4
+#: At a similarity of 0.8 about 9.7 of 64 bits differ, with a deviation of 2.9: so many are five deviations off.
+STAGE_WIDE = 24
 _EVEN = 0x5555555555555555
 
 
@@ -147,7 +149,7 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 def shingle_prints(df: DataFrame) -> DataFrame:
-    """(id, row, fp, cells) of each row: a key of its id and text, the key of its words in order, and its cells of least shingles."""
+    """(id, row, fp, print, cells) of each row: a key of its id and text, the key of its words in order, the SimHash of its distinct shingles, and its cells of least shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,11 +158,13 @@ def shingle_prints(df: DataFrame) -> DataFrame:
                 cells = line_dedup.word_cells(line_dedup.word_minima(shingles, np.full(len(shingles), 9), first, last, STAGE_BANDS * STAGE_ORDERS), STAGE_ORDERS) if len(docs) else np.zeros((0, STAGE_BANDS), dtype=np.uint64)
                 n = np.zeros(len(keys), dtype=np.int32)
                 n[docs] = STAGE_BANDS
+                prints = np.zeros(len(keys), dtype=np.uint64)
+                prints[docs] = line_dedup.simhash(shingles, first, last)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(cells.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(keys)), batch.column(1).slice(at, len(keys)), pa.array(keys.view(np.int64)), lists], ["id", "row", "fp", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(keys)), batch.column(1).slice(at, len(keys)), pa.array(keys.view(np.int64)), pa.array(prints.view(np.int64)), lists], ["id", "row", "fp", "print", "cells"])
                 at += len(keys)
 
-    return _texts(df).mapInArrow(run, "id long, row long, fp long, cells array<long>")
+    return _texts(df).mapInArrow(run, "id long, row long, fp long, print long, cells array<long>")
 
 
 def shingle_sets(df: DataFrame, wanted: Bloom) -> DataFrame:
@@ -200,10 +204,19 @@ def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.nda
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
+def shingle_candidates(prints: DataFrame, radius: int = RADIUS, spare: int = SPARE, wide: int = STAGE_WIDE) -> DataFrame:
+    """prints: (fp, print, cells), materialised. Edges (a, b) of fp whose components hold all candidates: SimHash values within the radius, by the
+    grids of segment popcounts, and those within wide among texts that share a cell of least shingles. Texts without words have no candidates.
+    """
+    nodes = prints.where("size(cells) > 0").select("fp", "print", "cells").dropDuplicates(["fp"])
+    grids = nodes.select(F.explode(grid_cells(F.col("print"), radius, spare)).alias("cell"), F.col("fp").alias("id"), F.col("print").alias("value"))
+    least = nodes.select(F.explode("cells").alias("cell"), F.col("fp").alias("id"), F.col("print").alias("value"))
+    return cell_links(grids, radius, manhattan).union(cell_links(least, wide, manhattan))
+
+
 def shingle_links(docs: DataFrame, prints: DataFrame, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """prints: shingle_prints of docs, materialised. Edges (a, b) of keys that span the groups of verified candidates."""
-    cells = prints.select(F.explode("cells").alias("cell"), F.col("fp").alias("id"), F.lit(0).cast("long").alias("value")).distinct()
-    whole, _ = materialise(components(cell_links(cells, 0)).select(F.col("node").alias("key"), F.col("root").alias("whole")), "wholes")
+    whole, _ = materialise(components(shingle_candidates(prints)).select(F.col("node").alias("key"), F.col("root").alias("whole")), "wholes")
     rows, _ = materialise(prints.join(small(whole, SMALL_ROWS), prints.fp == whole.key).groupBy("fp").agg(F.min("row").alias("row")).select("row"), "wanted")
     sets, _ = materialise(shingle_sets(docs, Bloom(rows, "row", rows.count())).join(small(whole, SMALL_ROWS), "key").dropDuplicates(["key"]).select("whole", "key", "shingles"), "sets")
 
@@ -217,7 +230,8 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps of each group the document with the smallest doc_id, null ids last, then the least key of its id and text; rows equal to it stay too.
 
     Unlike op8's, groups are linked by shingles of STAGE_SHINGLE words at a Jaccard similarity of STAGE_SIMILARITY or more.
-    Candidates share the least shingles by STAGE_ORDERS orders in one of STAGE_BANDS bands; at 0.8 all but about 1 in 4,000 do.
+    Candidates are those whose SimHash of shingles lies within RADIUS bits, all found by the grids of segment popcounts, and of the texts that share the
+    least shingles by STAGE_ORDERS orders in one of STAGE_BANDS bands (at 0.8 all but about 1 in 4,000 do) those within STAGE_WIDE bits.
     """
     prints, _ = materialise(shingle_prints(docs), "prints")
     first = F.struct(F.col("id").isNull().alias("null"), "id", "row")

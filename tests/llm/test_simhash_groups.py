@@ -122,3 +122,16 @@ def test_stage_finds_shingle_similarity(spark, sf):
     kept = {r.doc_id for r in stage_simhash(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert kept == brute_kept(rows)
     assert not any(i > 10_000 and i % 2 for i in kept)
+
+
+def test_stage_candidates_are_by_simhash(spark):
+    """Fingerprints within the radius are candidates without a common cell of least shingles; with one, those within the wide radius are; texts without words are none."""
+    from tessera.llm import simhash_groups
+
+    rows = [(1, 0b0000, [1, 2]), (2, 0b1111, [3, 4]), (3, 0xFF << 40, [5, 2]), (4, 0x7FFFFFFF << 20, [1, 6]), (5, 0, []), (6, 0b0000, [7])]
+    prints = spark.createDataFrame(rows, "fp long, print long, cells array<long>")
+    found = {(r.node, r.root) for r in components(simhash_groups.shingle_candidates(prints)).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (6, 1)}
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, " ")], "doc_id long, text string")
+    got = {r.id: r.print for r in simhash_groups.shingle_prints(docs).collect()}
+    assert got[1] == got[2] != 0 == got[3]
