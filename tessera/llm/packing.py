@@ -21,6 +21,8 @@ gives no pieces. Null ids stay null. Extra columns aren't read, so they can't cl
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
 import re
 import sys
@@ -41,26 +43,35 @@ TOKENS, SEGMENTS, LOSS, WINDOW = 2048, 64, 1740, 4096
 #: Shares of an example's tokens, its last ones, that bear loss: the others stand for its prompt. Documents have no roles, so the crc32 of the id picks one.
 LOSS_SHARES = (0.3, 0.5, 0.7, 0.9)
 VOCABULARY, END = "word_bpe_49k.json", 1
-CACHED_WORDS = 150_000
+CACHED_PARTS = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_segments long"
 
 
-#: The pre-tokenizer's pattern in the vocabulary's file, and what it splits lower-case words of _PLAIN letters into.
+#: The pre-tokenizer's pattern in the vocabulary's file.
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_PLAIN_SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
-#: Printable ASCII and the letters from U+00C0 to U+00FF, in UTF-8: single code points in any normal form, each with one lower case.
-_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: White space, printable ASCII and the letters from U+00C0 to U+00FF, in UTF-8: single code points in any normal form, each with one lower case.
+_SPACES = b" \t\n\v\f\r"
+_PLAIN = _SPACES + bytes(range(33, 127)) + b"\xc3" + bytes(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))
+_SPACE = re.compile(rb"[ \t-\r]")
+_ODD = bytes(b not in _PLAIN for b in range(256))
+#: Bytes of plain words in lower case, and their kinds: a run of letters is a part, each digit is one, and so is a run of others.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b < 0x9F else b for b in range(256))
+_KINDS = bytes(0 if b in _SPACES else 1 if b >= 128 or 97 <= b | 32 <= 122 else 2 if 48 <= b <= 57 else 3 for b in range(256))
+_BLOCK = 1 << 21
 #: Byte-level models write a byte that isn't printable as the next character from U+0100 on.
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+_LETTERS = "".join(chr(_BYTE_LETTERS.get(b, b)) for b in range(256))
 
 
 class WordTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit bytes; a distinct word is tokenised once while it stays in the cache.
-
-    For vocabularies that split at white space and drop it, a text's ids are its words' ids.
-    The cache has two generations of CACHED_WORDS words at most; the older one is
-    dropped, less what was used again, when the younger one is full. Where the vocabulary splits words by _SPLIT, the
-    parts of _PLAIN words go to the library's model directly, and are cached alike.
+    """Ids of texts in UTF-8, as little-endian unsigned 32-bit bytes.
+
+    For vocabularies that split at white space and drop it, a text's ids are its words' ids. Texts are split whole blocks at once,
+    and each distinct part is tokenised once while it stays in the cache. Where the vocabulary splits words by _SPLIT, parts of words
+    of _PLAIN bytes are what it makes of them, and go to the library's model directly. Other words and those with
+    special tokens are parts as they are, and go to the library.
+    The cache has two generations of CACHED_PARTS parts at most; the older one is
+    dropped, less what was used again, when the younger one is full.
     """
 
     def __init__(self, path: str):
@@ -69,50 +80,92 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
-        self._parts: dict[bytes, bytes] = {}
         self._model = self._tokenizer.model
         said = json.loads(self._tokenizer.to_str())
         steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self._by_parts = steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
-        self._special = [t["content"].encode() for t in said.get("added_tokens") or []]
-
-    def _plain(self, word: bytes) -> bytes:
-        out = []
-        for part in _PLAIN_SPLIT.findall(word.decode().lower().encode()):
-            ids = self._parts.get(part)
+        special = [t["content"].encode() for t in said.get("added_tokens") or []]
+        self._special = re.compile(b"|".join(map(re.escape, special)) or rb"(?!)")
+        #: A special token of several kinds of characters lies in no part.
+        self._by_parts = steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and all(len(set(t.translate(_KINDS))) > 1 and b"'" not in t for t in special)
+
+    def _split(self, data: bytes) -> tuple[np.ndarray, pa.Array]:
+        """A block's parts, and where each begins in it."""
+        data += b"   "
+        low = data.translate(_LOWER)
+        chars, kinds = np.frombuffer(low, dtype=np.uint8), np.frombuffer(low.translate(_KINDS), dtype=np.uint8)
+        begins = np.empty(len(chars), dtype=bool)
+        begins[0] = True
+        np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
+        begins |= kinds == 2
+        if b"'" in low:
+            quotes = np.flatnonzero(chars == 39)
+            quotes = quotes[begins[quotes] & (kinds[quotes + 1] == 1)]
+            one, two = chars[quotes + 1], chars[quotes + 2]
+            long = (two == 101) & ((one == 114) | (one == 118)) | (two == 108) & (one == 108)
+            for size, those in ((2, quotes[np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))]), (3, quotes[long])):
+                begins[those + 1] = False
+                begins[those + size] = True
+        if not self._by_parts or data.translate(None, _PLAIN) or self._special.search(data):
+            edges = np.flatnonzero(np.diff(kinds != 0, prepend=False))
+            words, ends = edges[::2], edges[1::2]
+            if self._by_parts:
+                at = np.concatenate([np.flatnonzero(np.frombuffer(data.translate(_ODD), dtype=np.uint8)), np.array([m.start() for m in self._special.finditer(data)], dtype=np.int64)])
+                odd = np.unique(np.searchsorted(words, at, side="right") - 1)
+                words, ends = words[odd], ends[odd]
+            step = np.zeros(len(chars), dtype=np.int8)
+            step[words], step[ends] = 1, -1
+            inside = np.cumsum(step, dtype=np.int8) > 0
+            begins[inside] = False
+            begins[words] = True
+            low = np.where(inside, np.frombuffer(data, dtype=np.uint8), chars).tobytes()
+        at = np.flatnonzero(begins)
+        lengths, words = np.diff(at, append=len(chars)), kinds[at] != 0
+        offsets = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(lengths[words])])
+        return at[words], pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(low.translate(None, _SPACES))])
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts."""
+        out = list(map(self._young.get, parts))
+        others = []
+        for k in [k for k, v in enumerate(out) if v is None]:
+            part = parts[k]
+            ids = self._old.get(part)
             if ids is None:
-                ids = _le(array("I", [t.id for t in self._model.tokenize(part.decode("latin-1").translate(_BYTE_LETTERS))]))
-                if len(self._parts) >= CACHED_WORDS:
-                    self._parts.clear()
-                self._parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+                if not self._by_parts or part.translate(None, _PLAIN) or self._special.search(part):
+                    others.append(k)
+                    continue
+                ids = _le(array("I", [t.id for t in self._model.tokenize(codecs.charmap_decode(part, "strict", _LETTERS)[0])]))
+            self._young[part] = out[k] = ids
+        for at in range(0, len(others), 20_000):
+            some = others[at : at + 20_000]
+            coded = self._tokenizer.encode_batch_fast([parts[k].decode("utf-8", "replace") for k in some], add_special_tokens=False)
+            for k, c in zip(some, coded, strict=True):
+                self._young[parts[k]] = out[k] = _le(array("I", c.ids))
+        if len(self._young) > CACHED_PARTS:
+            self._young, self._old = {}, self._young
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        young, old = self._young, self._old
-        known: dict[bytes, bytes] = {}
-        new: list[bytes] = []
-        for w in set().union(*split):
-            ids = young.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    if not self._by_parts or not _PLAIN.fullmatch(w) or any(x in w for x in self._special):
-                        new.append(w)
-                        continue
-                    ids = self._plain(w)
-                young[w] = ids
-            known[w] = ids
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            coded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            fresh = dict(zip(part, (_le(array("I", c.ids)) for c in coded), strict=True))
-            known.update(fresh)
-            young.update(fresh)
-        if len(young) > CACHED_WORDS:
-            self._young, self._old = {}, young
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        data = b" ".join(texts)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        before = np.zeros(len(bounds), dtype=np.int64)
+        out, at, size = [], 0, 0
+        while at < len(data):
+            cut = _SPACE.search(data, at + _BLOCK)
+            to = cut.start() if cut else len(data)
+            begin, parts = self._split(data[at:to])
+            ends = np.zeros(1, dtype=np.int64)
+            if len(begin):
+                coded = parts.dictionary_encode()
+                ids = pa.array(self._ids(coded.dictionary.to_pylist()), type=pa.large_binary()).take(coded.indices)
+                ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[: len(begin) + 1]
+                out.append(ids.buffers()[2][: int(ends[-1])])
+            first, last = np.searchsorted(bounds, [at, to])
+            before[first:last] = size + ends[np.searchsorted(begin, bounds[first:last] - at)]
+            at, size = to, size + int(ends[-1])
+        before[np.searchsorted(bounds, at) :] = size
+        flat = b"".join(out)
+        return [flat[x:y] for x, y in itertools.pairwise(before.tolist())]
 
 
 def _le(ids: array) -> bytes:

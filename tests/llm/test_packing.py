@@ -129,6 +129,46 @@ def test_words_are_tokenised_as_texts():
     assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("block", [1, 50, 1 << 21])
+def test_blocks_are_tokenised_as_texts(monkeypatch, block):
+    """Contractions, digits, capitals, every white space, and words that aren't plain among plain ones, whatever the blocks' size."""
+    from tessera.llm import packing
+
+    monkeypatch.setattr(packing, "_BLOCK", block)
+    whole, by_blocks = Tokenizer.from_file(vocabulary_path()), packing.WordTokenizer(vocabulary_path())
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abA'''sStTrRevVlLmdD019 -_.,<|>\u00e9\u00c0\u00de\u00df\u00ff\t\n\r\v\f "), rng.integers(0, 80))) for _ in range(300)]
+    odd = ["\u00d7", "\u20ac x", "<|endoftext|>", "<|ENDOFTEXT|>", "e\u0301", "\u0130", "J\u030c", "\u03a3\u03a3 a", "\x1c", "\u00a0"]
+    texts[::5] = [t[:20] + odd[k % len(odd)] + t[20:] for k, t in enumerate(texts[::5])]
+    texts += ["", " ", "'", "'s", "'ll's", "x'", ""]
+    got = by_blocks([t.encode() for t in texts])
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert by_blocks([]) == [] and by_blocks([b""]) == [b""]
+
+
+@pytest.mark.parametrize("first", ["", "\u201cx\u201d "])
+def test_work_grows_with_parts_not_with_words(first):
+    """20,280 distinct words of 38 parts: calls made in Python go with the parts and not with the words."""
+    import sys
+
+    from tessera.llm.packing import WordTokenizer
+
+    letters = ["".join(chr(97 + (k * m) % 26) for m in (1, 3, 7, 11)) for k in range(26)]
+    words = [f"{a}-{b}.{k}" for a in letters for b in letters for k in range(30)]
+    assert len(set(words)) > 20_000
+    tokenizer, calls = WordTokenizer(vocabulary_path()), [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        tokenizer([(first + " ".join(words)).encode()])
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 2_000
+
+
 def test_limits_must_be_positive():
     with pytest.raises(ValueError, match="positive"):
         place(np.array([1]), np.array([1]), (0, 1, 1))
