@@ -318,6 +318,9 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
                     ids, tokens, shares, size = [], [], [], 0
         if ids:
             yield packed(ids, tokens, shares)
+        #: Arrow's pool keeps what is freed, and a worker that waits for its next task would hold it.
+        ids, tokens, shares = [], [], []
+        pa.default_memory_pool().release_unused()
 
     if loss_share is None:
         of = F.crc32(F.col(id_col).cast("long").cast("string")) % len(LOSS_SHARES)

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
@@ -125,3 +126,15 @@ def test_stage(spark, odd_docs, no_docs, tmp_path):
         assert n[0] >= 50
         assert 100 * n[4] <= 50 * n[0]
     assert stage_quality(spark, no_docs, str(tmp_path)).count() == 0
+
+
+def test_memory_goes_by_blocks():
+    """4 MB of texts: working memory is that of one block, so that two workers fit beside an executor's heap."""
+    texts = pa.array([f"some words of text {k} and others\n" * 300 for k in range(400)])
+    text_counts(texts)
+    tracemalloc.start()
+    try:
+        text_counts(texts)
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
